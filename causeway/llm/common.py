@@ -18,6 +18,20 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+#: Shares that the rows of one key are dealt into in a salted join.
+SALTS = 32
+
+
+def salted_lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``small`` (one row a key), each key's rows dealt into SALTS shares by ``spread``.
+
+    ``small`` is repeated once a share.  The share stays in column ``_salt``.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return dealt.join(each, [*keys, "_salt"], how)
+
+
 def batched(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches to at most ``rows`` rows, so that working arrays stay small."""
     for batch in batches:

@@ -6,16 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import piece_bpe
+from causeway.llm import digest, packing, piece_bpe, warc
 from causeway.llm.common import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placements(table(spark, sf_dir, "documents"))
+
+
+def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op9_canonical_digest": op9_canonical_digest,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_revisits": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+        h AS (SELECT page_id, url, octet_length(payload) AS payload_bytes, sha1(payload) AS hexed FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY hexed, payload_bytes) AS original FROM h),
+        b AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (('0x' || substr(hexed, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4)::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest FROM m)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> original THEN original END AS refers_to FROM b
+    """,
+}
