@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import digest, packing, piece_bpe, warc
+from causeway.llm import digest, packing, piece_bpe, simhash, warc
 from causeway.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placements(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op7_golay_simhash": op7_golay_simhash,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_canonical_digest": op9_canonical_digest,
     "op10_sentencepiece": op10_sentencepiece,
