@@ -18,6 +18,23 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> list[tuple[str, int]]:
+    """(text, 0 or 1) of at most ``per_class`` documents of each class outside the held-out fold.
+
+    They are those with the smallest hash of the id.  Ids labelled more than once count once, with the largest
+    label; null labels and texts are left out.
+    """
+    known = labels.where((fold_of("doc_id", folds) != held_out) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    # Two top-k selections of per_class small rows bound what is sent to every executor.
+    drawn = None
+    for value in (0, 1):
+        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return sorted((r["text"], r["label"]) for r in found.collect())
+
+
 #: Shares that the rows of one key are dealt into in a salted join.
 SALTS = 32
 

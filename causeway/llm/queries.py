@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import digest, langid, packing, piece_bpe, simhash, tiff, warc
+from causeway.llm import digest, langid, packing, piece_bpe, simhash, tiff, toxicity, warc
 from causeway.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.document_media(table(spark, sf_dir, "documents"))
 
 
+def op4_dictionary_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_dictionary_toxicity": op4_dictionary_toxicity,
     "op5_piece_language": op5_piece_language,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
