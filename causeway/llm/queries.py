@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import digest, langid, packing, piece_bpe, simhash, tiff, toxicity, warc
+from causeway.llm import digest, langid, packing, piece_bpe, quality, simhash, tiff, toxicity, warc
 from causeway.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.document_media(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_factorisation_quality": op2_factorisation_quality,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_dictionary_toxicity": op4_dictionary_toxicity,
     "op5_piece_language": op5_piece_language,
