@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import digest, langid, packing, piece_bpe, quality, simhash, tiff, toxicity, warc
+from causeway.llm import digest, langid, packing, pii, piece_bpe, quality, simhash, tiff, toxicity, warc
 from causeway.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff_pages": op3_tiff_pages,
     "op4_dictionary_toxicity": op4_dictionary_toxicity,
     "op5_piece_language": op5_piece_language,
+    "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_canonical_digest": op9_canonical_digest,
