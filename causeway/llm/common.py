@@ -68,6 +68,22 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], tuple[pa.Array, dict]], rows: int = 500) -> DataFrame:
+    """``df`` without the rows that ``work`` rejects, and with the columns it replaces.
+
+    ``work`` gets a batch of ``columns`` and returns a mask of rows to keep and new values by column name.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batched(rows, batches):
+            kept, changed = work(batch.select(columns))
+            arrays = [changed[n].cast(batch.schema.field(n).type) if n in changed else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(kept)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import fold_of, map_batches
+from causeway.llm.common import filter_batches, fold_of, map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -226,6 +226,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, lang_pred string, score double", 300)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that have a language, with the predicted one in ``lang_col``; other columns stay.
+
+    Rows whose text is null or has no letter go.  Where nothing was learned, rows with letters stay as they are.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch) -> tuple[pa.Array, dict]:
+        own, texts = sent.value, batch.column(0).to_pylist()
+        if not own.languages:
+            return pa.array([bool(words_of(t)) for t in texts], pa.bool_()), {}
+        scorer = _scorer(path, own)
+        found = [scorer.score(t) for t in texts]
+        names = [None if x is None else own.languages[int(x.argmax())] for x in found]
+        return pa.array([x is not None for x in found], pa.bool_()), {lang_col: pa.array(names, pa.string())}
+
+    return filter_batches(docs, [text_col], work, 300)
+
+
 class _Scorer:
     def __init__(self, path: str, model: Model):
         self.pieces, self.model = pieces(path), model

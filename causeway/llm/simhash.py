@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from causeway.llm.common import map_batches, salted_lookup
+from causeway.llm.common import batched, map_batches, salted_lookup
 from causeway.plans.components import connected_components
 from causeway.plans.durable import written
 
@@ -143,6 +144,13 @@ def links(prints: DataFrame) -> DataFrame:
     return meet.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b").distinct()
 
 
+def _classes(marks: DataFrame) -> DataFrame:
+    """``(print, least, component)``: distinct fingerprints, the smallest id that has each, and a fingerprint naming the component."""
+    distinct = written(marks.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
+    grouped = connected_components(links(distinct)).withColumnRenamed("node", "print")
+    return distinct.join(grouped, "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, print, component_id)``: each row's fingerprint and the smallest id it can reach over links.
 
@@ -150,14 +158,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids never become a component's id unless it has no other.  An empty table gives no rows.
     """
     marks = written(fingerprints(docs, id_col, text_col), "prints")
-    distinct = written(marks.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
-    grouped = connected_components(links(distinct)).withColumnRenamed("node", "print")
-    own = distinct.join(grouped, "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    own = _classes(marks)
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
     named = own.join(smallest, "component").select("print", "component_id")
     return salted_lookup(marks, named, ["print"], F.col("id")).select("id", "print", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near duplicates one row of ``docs``, that with the smallest id; all columns stay.
+
+    Of repeated rows with that id one stays; a null id counts as the largest.
+    """
+    marks = written(fingerprints(docs, id_col, text_col), "prints")
+    rank = F.struct(F.col("least").isNull(), "least", "print")
+    chosen = _classes(marks).groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.least").alias("_id"), F.col("m.print").alias("_print"))
+    kind = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batched(500, batches):
+            prints = np.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], np.uint64)
+            yield batch.append_column("_own_print", pa.array(prints.view(np.int64)))
+
+    rows = docs.mapInArrow(run, StructType([*kind.fields, StructField("_own_print", LongType())]))
+    met = rows.join(chosen, (F.col("_own_print") == F.col("_print")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return met.dropDuplicates([id_col, "_own_print"]).select(*docs.columns)
+
+
 def hexed(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import fold_of, labelled_sample, map_batches
+from causeway.llm.common import filter_batches, fold_of, labelled_sample, map_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled texts of each class that are fitted on, at most.
@@ -194,6 +194,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, score double", 500)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``cut``, with all their columns.  Without a usable model, all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch) -> tuple[pa.Array, dict]:
+        scorer = _scorer(sent.value) if sent.value.usable else None
+        return pa.array([scorer is None or scorer.score(t) < cut for t in batch.column(0).to_pylist()], pa.bool_()), {}
+
+    return filter_batches(docs, [text_col], work)
+
+
 _KEPT: list[Scorer] = []
 
 
