@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +50,27 @@ def salted_lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Co
     return dealt.join(each, [*keys, "_salt"], how)
 
 
+#: Rows that Spark hands to a Python worker at once; texts may be long.
+ARROW_ROWS = 1000
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, fits: Callable[[object], bool], make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task.  It holds one at a time, so stages do not add up."""
+    found = _KEPT.get(key)
+    if found is None or not fits(found):
+        _KEPT.clear()
+        found = _KEPT[key] = make()
+    return found
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, whose default of 10,000 rows is made for numbers, not for texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def batched(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches to at most ``rows`` rows, so that working arrays stay small."""
     for batch in batches:
@@ -58,6 +80,7 @@ def batched(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000) -> DataFrame:
     """``df`` through ``work``, which makes a dict of columns from a batch of at most ``rows`` rows."""
+    small_batches(df.sparkSession)
     names = [f.name for f in _fields(df.sparkSession, schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +96,7 @@ def filter_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordB
 
     ``work`` gets a batch of ``columns`` and returns a mask of rows to keep and new values by column name.
     """
+    small_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

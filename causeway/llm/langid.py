@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import filter_batches, fold_of, map_batches
+from causeway.llm.common import filter_batches, fold_of, kept, map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -33,7 +33,7 @@ ROUNDS = 4
 WORD_CHARS = 24
 SMOOTHING, UNKNOWN = 0.01, 1e-7
 #: Words whose scores a Python worker keeps; emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 FOLDS, HELD_OUT = 4, 2
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -273,15 +273,8 @@ class _Scorer:
         return self.logs[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(0)
 
 
-_SCORERS: dict[tuple[str], _Scorer] = {}
-
-
 def _scorer(path: str, model: Model) -> _Scorer:
-    """The scorer of a broadcast model, kept from batch to batch and task to task in a Python worker."""
-    kept = _SCORERS.get((path,))
-    if kept is None or kept.model is not model:
-        kept = _SCORERS[(path,)] = _Scorer(path, model)
-    return kept
+    return kept("langid", lambda s: s.model is model, lambda: _Scorer(path, model))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -24,12 +24,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_batches
+from causeway.llm.common import kept, map_batches
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Units whose ids a Python worker keeps; the store is emptied when full, so memory is bounded.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 _NO_PAIR = np.int64(1) << 40
 
 
@@ -241,12 +241,6 @@ def model(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
-@functools.lru_cache(4)
-def _store(path: str) -> dict[str, bytes]:
-    """The units a Python worker has met, kept from task to task."""
-    return {}
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(id, ids binary)``: every text's ids with begin and end ids, little-endian unsigned 32-bit.
 
@@ -256,7 +250,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or public_tokenizers.path(MODEL)
     kind = docs.schema[id_col].dataType.simpleString()
     def work(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "ids": pa.array(model(path).encode_batch([t or "" for t in batch.column(1).to_pylist()], _store(path)), pa.binary())}
+        return {"id": batch.column(0), "ids": pa.array(model(path).encode_batch([t or "" for t in batch.column(1).to_pylist()], kept(f"units of {path}", lambda _: True, dict)), pa.binary())}
 
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, ids binary", 500)
 

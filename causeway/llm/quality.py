@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import fold_of, labelled_sample, map_batches
+from causeway.llm.common import fold_of, kept, labelled_sample, map_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled texts of each class that are fitted on, at most.
@@ -27,7 +27,7 @@ PER_CLASS = 2000
 BUCKETS, FACTORS, PASSES = 1 << 14, 8, 12
 RATE, WORD_DECAY, DECAY = 0.05, 2e-3, 1e-4
 CUT = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 STATISTICS = (
     "bias", "log_words", "word_chars", "distinct_share", "top_word_share", "repeat_share", "bigram_repeat_share", "upper_share", "digit_share",
     "bar_share", "mark_share", "bang_share", "stop_share", "bracket_share", "space_share", "log_lines", "line_repeat_share", "line_words", "short", "log_length",
@@ -160,10 +160,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    bucket: dict[str, int] = {}
 
     def work(batch: pa.RecordBatch) -> dict:
         own, out = sent.value, []
+        bucket = kept("quality", lambda _: True, dict)
         for text, length in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if own is None:
                 out.append(1.0)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import filter_batches, fold_of, labelled_sample, map_batches
+from causeway.llm.common import filter_batches, fold_of, kept, labelled_sample, map_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled texts of each class that are fitted on, at most.
@@ -37,7 +37,8 @@ LEAD = "the and "
 SEGMENT_CHARS, MIN_USES, MIN_RATIO, SEGMENTS = 4, 8, 4.0, 200
 THRESHOLDS = (4, 5, 6, 7, 8)
 WORD_CHARS = 40
-CACHE_WORDS = 400_000
+#: Words of a generation whose distances a Python worker keeps; it holds two.
+CACHE_WORDS = 120_000
 CUT = 0.5
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -205,14 +206,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: float
     return filter_batches(docs, [text_col], work)
 
 
-_KEPT: list[Scorer] = []
-
-
 def _scorer(model: Model) -> Scorer:
-    """The scorer of a broadcast model, kept by a Python worker from task to task."""
-    if not _KEPT or _KEPT[0].model is not model:
-        _KEPT[:] = [Scorer(model)]
-    return _KEPT[0]
+    return kept("toxicity", lambda s: s.model is model, lambda: Scorer(model))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
