@@ -183,6 +183,21 @@ ORACLE_SQL: dict[str, str] = {
     "dilate": _with("supplier", _raster(2, "px")) + "SELECT 't' AS tile, r::INT AS row, c::INT AS col FROM px",
     "erode": _with("supplier", _raster(2, "px"))
     + "SELECT 't' AS tile, a.r::INT AS row, a.c::INT AS col FROM px a WHERE (SELECT count(*) FROM px b WHERE abs(b.r - a.r) + abs(b.c - a.c) <= 1) = 5",
+    "geo_match": _with("customer")
+    + """, moved AS (SELECT id + 1000000 AS match, x + 2e-4 AS mx, y - 1e-4 AS my FROM nodes),
+        met AS (SELECT id, match, 2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians(my - y) / 2), 2) + cos(radians(y)) * cos(radians(my)) * pow(sin(radians(mx - x) / 2), 2))) AS m FROM nodes JOIN moved ON abs(my - y) < 1e-3 AND abs(mx - x) < 1e-3)
+        SELECT id, match, round(m, 3) AS distance_m FROM met WHERE m <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, match DESC) = 1""",
+    "gap_candidates": _with("customer")
+    + """, stub AS (SELECT u AS id, min(v) AS o FROM ways GROUP BY 1 HAVING count(*) = 1), place AS (SELECT s.id, n.x, n.y, m.x AS ox, m.y AS oy FROM stub s JOIN nodes n ON n.id = s.id JOIN nodes m ON m.id = s.o),
+        met AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.ox AS aox, a.oy AS aoy, b.ox AS box_, b.oy AS boy,
+            2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) AS m FROM place a JOIN place b ON a.id < b.id),
+        v AS (SELECT *, (ax - aox) * cos(radians(aoy)) AS p1, ay - aoy AS p2, (bx - ax) * cos(radians(ay)) AS q1, by_ - ay AS q2, (bx - box_) * cos(radians(boy)) AS r1, by_ - boy AS r2, (ax - bx) * cos(radians(by_)) AS t1, ay - by_ AS t2 FROM met WHERE m <= 320)
+        SELECT a, b, round(m, 3) AS gap_m, round(least((p1 * q1 + p2 * q2) / sqrt(p1 * p1 + p2 * p2) / sqrt(q1 * q1 + q2 * q2), (r1 * t1 + r2 * t2) / sqrt(r1 * r1 + r2 * r2) / sqrt(t1 * t1 + t2 * t2)), 6) AS straightness FROM v""",
+    "skeletonize_step": _with("supplier", _raster(2, "px"))
+    + """, off(i, dr, dc) AS (VALUES (0,-1,0),(1,-1,1),(2,0,1),(3,1,1),(4,1,0),(5,1,-1),(6,0,-1),(7,-1,-1)),
+        near AS (SELECT p.r, p.c, list(q.r IS NOT NULL ORDER BY i) AS n FROM px p, off LEFT JOIN px q ON q.r = p.r + dr AND q.c = p.c + dc GROUP BY 1, 2),
+        judged AS (SELECT r, c, n, len(list_filter(n, lambda b: b)) AS b, len(list_filter(range(8), lambda i: NOT n[i + 1] AND n[(i + 1) % 8 + 1])) AS a FROM near)
+        SELECT 't' AS tile, r::INT AS row, c::INT AS col FROM judged WHERE NOT (b BETWEEN 2 AND 6 AND a = 1 AND NOT (n[1] AND n[3] AND n[5]) AND NOT (n[3] AND n[5] AND n[7]))""",
     "trace_degree": _with("supplier", _raster(0, "px"))
     + "SELECT k AS degree, count(*) AS pixels FROM (SELECT a.r, a.c, count(b.r) AS k FROM px a LEFT JOIN px b ON abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND (b.r <> a.r OR b.c <> a.c) GROUP BY 1, 2) GROUP BY 1",
     "top_segments": _with("supplier", _paths(), _SIGMA) + f"SELECT e.u, e.v, round(coalesce(total, 0) / (n * (n - 1)), 8) AS betweenness FROM edges e LEFT JOIN ({_PAIRS}) p ON p.u = e.u AND p.v = e.v, side ORDER BY betweenness DESC, u, v LIMIT 5",
