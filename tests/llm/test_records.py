@@ -37,11 +37,12 @@ def test_archives_are_plain_warc_and_are_deduplicated(spark, pages):
     from causeway.plans.durable import fresh_path
 
     marked = warc.mark_revisits(pages.selectExpr("page_id", "url", "cast(coalesce(html, '') as binary) payload"))
-    path = warc.write_archives(marked, fresh_path(spark, "warc"))
+    path = warc.write_archives(marked, fresh_path(spark, "warc"), 3)
     raw = b"".join(gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).collect())
     assert raw.count(b"WARC/1.1\r\n") == pages.count() and b"WARC-Profile: " in raw
-    again = warc.read_archives(spark, warc.deduplicate_archives(spark, path)).collect()
-    assert all(r["record_type"] == "response" for r in again)
+    again = warc.resolve(warc.read_archives(spark, warc.deduplicate_archives(spark, path))).collect()
+    assert len(again) == pages.count()
+    assert {(r["page_id"], r["refers_to"]) for r in again} == {(r["page_id"], r["refers_to"]) for r in warc.archive_pages(pages).collect()}
     with pytest.raises(ValueError):
         list(warc.parse_archive(b"no archive"))
 
