@@ -171,7 +171,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marks = written(fingerprints(docs, id_col, text_col), "prints")
     rank = F.struct(F.col("least").isNull(), "least", "print")
-    chosen = _classes(marks).groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.least").alias("_id"), F.col("m.print").alias("_print"))
+    chosen = _classes(marks).groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.least").alias("_kept_id"), F.col("m.print").alias("_kept_print"))
     kind = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield batch.append_column("_own_print", pa.array(prints.view(np.int64)))
 
     rows = docs.mapInArrow(run, StructType([*kind.fields, StructField("_own_print", LongType())]))
-    met = rows.join(chosen, (F.col("_own_print") == F.col("_print")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    met = rows.join(chosen, (F.col("_own_print") == F.col("_kept_print")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
     return met.dropDuplicates([id_col, "_own_print"]).select(*docs.columns)
 
 
