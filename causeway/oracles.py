@@ -203,3 +203,4 @@ ORACLE_SQL: dict[str, str] = {
     "top_segments": _with("supplier", _paths(), _SIGMA) + f"SELECT e.u, e.v, round(coalesce(total, 0) / (n * (n - 1)), 8) AS betweenness FROM edges e LEFT JOIN ({_PAIRS}) p ON p.u = e.u AND p.v = e.v, side ORDER BY betweenness DESC, u, v LIMIT 5",
     "highest_ground": _with("customer") + "SELECT id, elevation, coalesce(amenity, 'none') AS amenity, row_number() OVER (PARTITION BY amenity ORDER BY elevation DESC, id) AS place FROM nodes QUALIFY place <= 3",
 }
+ORACLE_SQL["streamed_betweenness"] = ORACLE_SQL["sampled_betweenness"]

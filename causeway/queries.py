@@ -153,6 +153,17 @@ def sampled_betweenness(spark, sf_dir):
     return progressive.merged(found).select("u", "v", F.round("betweenness", 8).alias("betweenness"))
 
 
+def streamed_betweenness(spark, sf_dir):
+    """The same estimate from a stream of events, folded micro-batch by micro-batch."""
+    ways, _, n = _paths(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A stream takes a folder or a pattern; the pattern stands for the table whether it is a file or a folder.
+    draws = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select((F.col("user_id") % n).alias("s"))
+    estimator = progressive.Estimator(ways, n)
+    estimator.start(draws).awaitTermination()
+    return progressive.merged(estimator.estimates()).select("u", "v", F.round("betweenness", 8).alias("betweenness"))
+
+
 def progressive_epsilon(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "supplier")
     draws = _draws(spark, sf_dir, nodes.count()).groupBy("batch").agg(F.count("*").alias("samples"))
@@ -211,6 +222,12 @@ def robustness_random(spark, sf_dir):
     return scenarios.random_attack(edges, nodes, 10).select("step", F.round("fraction", 6).alias("fraction"), F.round("lcc", 6).alias("lcc"))
 
 
+def robustness_targeted(spark, sf_dir):
+    _, edges, nodes = _network(spark, sf_dir, "supplier")
+    found = scenarios.targeted_attack(written(edges, "edges"), written(nodes, "nodes"), 2)
+    return found.select("step", F.round("fraction", 6).alias("fraction"), F.round("lcc", 6).alias("lcc"))
+
+
 def robustness_auc(spark, sf_dir):
     curve = robustness_random(spark, sf_dir).withColumn("strategy", F.lit("random"))
     return stats.area_under(curve, "fraction", "lcc", ["strategy"]).select("strategy", F.round("auc", 6).alias("auc"))
@@ -334,8 +351,8 @@ def highest_ground(spark, sf_dir):
 
 _ALL = (
     flood_impact, annotate_edges, undirected_view, collapse_parallel, bipartite_degree, zones, elevation, degree, submerged_edges, components, component_summary, bridges, articulation_points,
-    two_edge_components, apsp, sssp_hops, sigma_counts, global_efficiency, edge_betweenness, edge_betweenness_directed, node_betweenness, sampled_betweenness, progressive_epsilon, current_flow,
-    removal_impact, resilience_score, min_cut, flood_sweep, lost_access, restoration_priority, robustness_random, robustness_auc, spearman, pearson, bpr_travel_time, point_in_polygon, gap_candidates,
+    two_edge_components, apsp, sssp_hops, sigma_counts, global_efficiency, edge_betweenness, edge_betweenness_directed, node_betweenness, sampled_betweenness, streamed_betweenness, progressive_epsilon, current_flow,
+    removal_impact, resilience_score, min_cut, flood_sweep, lost_access, restoration_priority, robustness_random, robustness_targeted, robustness_auc, spearman, pearson, bpr_travel_time, point_in_polygon, gap_candidates,
     gap_closure, flyover_split, geo_match, apls, rasterize, dilate, erode, skeletonize_step, trace_degree, vectorize, geojson_edges, top_segments, highest_ground,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
