@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,40 @@ def salted_lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Co
     return dealt.join(each, [*keys, "_salt"], how)
 
 
+class IntMap:
+    """A map of non-negative integers to integers in two arrays, looked up many keys at a time (open addressing)."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.slots = 1 << max(4, (8 * len(pairs)).bit_length())
+        self.key, self.value = np.full(self.slots + 64, -1, np.int64), np.full(self.slots + 64, -1, np.int32)
+        keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        at, self.probes = self._slot(keys), 0
+        while keys.size:
+            self.probes += 1
+            free = self.key[at] < 0
+            self.key[at[free]], self.value[at[free]] = keys[free], values[free]
+            out = self.key[at] != keys
+            keys, values, at = keys[out], values[out], at[out] + 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(40)) & np.int64(self.slots - 1)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The values of ``key``, -1 where there is none; negative keys have none."""
+        at = self._slot(key)
+        found = self.key[at]
+        out = np.where((found == key) & (key >= 0), self.value[at], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
+        for step in range(1, self.probes):
+            if not open_.size:
+                break
+            found = self.key[at[open_] + step]
+            same = found == key[open_]
+            out[open_[same]] = self.value[at[open_[same]] + step]
+            open_ = open_[~same & (found >= 0)]
+        return out
+
+
 #: Rows that Spark hands to a Python worker at once; texts may be long.
 ARROW_ROWS = 1000
 _KEPT: dict[str, object] = {}

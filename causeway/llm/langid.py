@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import filter_batches, fold_of, kept, map_batches
+from causeway.llm.common import IntMap, filter_batches, fold_of, kept, map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -49,7 +49,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Pieces:
-    """The vocabulary as a trie: states in a sorted table of (state, character) keys."""
+    """The vocabulary as a trie: a map of (state, letter) to the next state."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -70,10 +70,7 @@ class Pieces:
             ends[state] = number
         self.piece_at = np.full(len(steps) + 1, -1, np.int32)
         self.piece_at[list(ends)] = list(ends.values())
-        # States lie in a dense table where it is small enough, by rows of (state, letter).
-        self.step = np.zeros((len(steps) + 1, self.width), np.uint16 if len(steps) < 65535 else np.int32)
-        for key, state in steps.items():
-            self.step[divmod(key, self.width)] = state
+        self.step = IntMap(steps)
 
     @property
     def size(self) -> int:
@@ -94,7 +91,8 @@ class Pieces:
         single = np.zeros(chars.size, bool)
         for k in range(1, self.depth + 1):
             active, state = active[left[active] >= k], state[left[active] >= k]
-            state = self.step[state, chars[active + k - 1]].astype(np.int64)
+            letter = chars[active + k - 1]
+            state = self.step.get(np.where(letter > 0, state * self.width + letter, -1)).astype(np.int64)
             active, state = active[state > 0], state[state > 0]
             if not active.size:
                 break

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import kept, map_batches
+from causeway.llm.common import IntMap, kept, map_batches
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -58,7 +58,7 @@ class PieceBpe:
                 self.char_id[ord(p)] = i
         pairs = {plain[p[:k]] * size + plain[p[k:]]: i for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain}
         self.size, self.pairs = size, pairs
-        self._index_pairs()
+        self.made = IntMap(pairs)
         known = "".join(re.escape(chr(c)) for c in np.flatnonzero(self.char_id >= 0).tolist() if chr(c).isspace())
         # A unit starts at a marker (none follows another character inside a piece) or at white space that no piece has.
         loose = "".join(c for c in "\n\t" if c not in known)
@@ -72,36 +72,9 @@ class PieceBpe:
         """The escaped text, cut where no piece can reach across; joined, they are the escaped text."""
         return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def _index_pairs(self) -> None:
-        """A hash table of the pairs in two arrays, open addressing: a pair lies at most ``probes`` slots after its own."""
-        self.slots = 1 << max(4, (8 * len(self.pairs)).bit_length())
-        self.slot_key, self.slot_id = np.full(self.slots + 64, -1, np.int64), np.full(self.slots + 64, -1, np.int32)
-        keys, ids = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs)), np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
-        at, self.probes = self._slot(keys), 0
-        while keys.size:
-            self.probes += 1
-            free = self.slot_key[at] < 0
-            self.slot_key[at[free]], self.slot_id[at[free]] = keys[free], ids[free]
-            out = self.slot_key[at] != keys
-            keys, ids, at = keys[out], ids[out], at[out] + 1
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(40)) & np.int64(self.slots - 1)
-
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (``_NO_PAIR`` where it makes no piece) and the piece it makes."""
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -2)
-        at = self._slot(key)
-        found = self.slot_key[at]
-        made = np.where(found == key, self.slot_id[at], -1)
-        open_ = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
-        for step in range(1, self.probes):
-            if not open_.size:
-                break
-            found = self.slot_key[at[open_] + step]
-            same = found == key[open_]
-            made[open_[same]] = self.slot_id[at[open_[same]] + step]
-            open_ = open_[~same & (found >= 0)]
+        made = self.made.get(np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1))
         return np.where(made >= 0, self.rank_of[made], _NO_PAIR), made
 
     def _in_order(self, symbols: list[int]) -> list[int]:
