@@ -44,6 +44,7 @@ def test_components_equal_brute_force(spark, data, docs, empty):
     got = {r["doc_id"]: r for r in simhash.components(table(spark, data, "documents")).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == wanted
     assert all(got[r["doc_id"]]["fingerprint"] == f"{p:016x}" for r, p in zip(rows, prints, strict=True))
+    assert {r["doc_id"] for r in simhash.keep_one(table(spark, data, "documents")).collect()} == set(wanted.values())
     odd = simhash.components(docs)
     assert odd.count() == docs.count() and odd.where("doc_id in (0, 1, 2, 3)").select("component_id").distinct().collect()[0][0] == 0
     assert simhash.components(empty).count() == 0
