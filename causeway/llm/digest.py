@@ -51,9 +51,9 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, fingerprint string, folded binary")
     marks = written(rows.select("id", "fingerprint"), "fingerprints")
     several = marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    single = marks.join(several, "fingerprint", "left_anti").select("id", "fingerprint", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"))
+    single = salted_lookup(marks, several, ["fingerprint"], F.col("id"), "left_anti").select("id", "fingerprint", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"))
     # The distinct bytes under each fingerprint that occurs more than once; two kinds under one would be a collision.
-    repeated = rows.join(several, "fingerprint", "left_semi").groupBy("fingerprint", "folded")
+    repeated = salted_lookup(rows, several, ["fingerprint"], F.col("id"), "left_semi").groupBy("fingerprint", "folded")
     kinds = written(repeated.agg(F.min("id").alias("group_id"), F.count("*").alias("group_size")).withColumn("folded", F.sha2("folded", 512)), "kinds")
     clashing = kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
     if clashing.isEmpty():
