@@ -34,6 +34,8 @@ WORD_CHARS = 24
 SMOOTHING, UNKNOWN = 0.01, 1e-7
 #: Words whose scores a Python worker keeps; emptied when full.
 CACHE_WORDS = 150_000
+#: Words whose lattices are built at once.
+LATTICE_WORDS = 5_000
 FOLDS, HELD_OUT = 4, 2
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -43,7 +45,7 @@ def words_of(text: str | None) -> list[str]:
     runs = _RUN.findall((text or "").lower())
     if not any(any(map(str.isalpha, r)) for r in runs):
         return []
-    if any(len(r) > WORD_CHARS for r in runs):
+    if max(map(len, runs)) > WORD_CHARS:
         runs = [r[a : a + WORD_CHARS] for r in runs for a in range(0, len(r), WORD_CHARS)]
     return runs
 
@@ -213,8 +215,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def work(batch: pa.RecordBatch) -> dict:
         own = sent.value
-        scorer = _scorer(path, own)
-        found = [scorer.score(t) for t in batch.column(1).to_pylist()] if own.languages else [None] * batch.num_rows
+        found = _scorer(path, own).scores(batch.column(1).to_pylist()) if own.languages else [None] * batch.num_rows
         names, scores = [], []
         for x in found:
             names.append("und" if x is None else own.languages[int(x.argmax())])
@@ -237,7 +238,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
         if not own.languages:
             return pa.array([bool(words_of(t)) for t in texts], pa.bool_()), {}
         scorer = _scorer(path, own)
-        found = [scorer.score(t) for t in texts]
+        found = scorer.scores(texts)
         names = [None if x is None else own.languages[int(x.argmax())] for x in found]
         return pa.array([x is not None for x in found], pa.bool_()), {lang_col: pa.array(names, pa.string())}
 
@@ -253,22 +254,23 @@ class _Scorer:
         self.row: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.model.languages)))
 
-    def score(self, text: str | None) -> np.ndarray | None:
-        words = words_of(text)
-        if not words:
-            return None
+    def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Log probabilities of each text under every language; None for one without letters.  New words are scored together."""
+        cut = [words_of(t) for t in texts]
         row = self.row
-        fresh = list({w for w in words if w not in row})
+        fresh = list({w for words in cut for w in words if w not in row})
         if len(row) + len(fresh) > CACHE_WORDS:
             self.clear()
-            row, fresh = self.row, list(set(words))
+            row, fresh = self.row, list({w for words in cut for w in words})
         n = len(row)
         if fresh:
             while n + len(fresh) > len(self.logs):
                 self.logs = np.concatenate((self.logs, np.zeros_like(self.logs)))
-            self.logs[n : n + len(fresh)] = score_words(self.model.probability, self.pieces, fresh)
+            for at in range(0, len(fresh), LATTICE_WORDS):
+                part = fresh[at : at + LATTICE_WORDS]
+                self.logs[n + at : n + at + len(part)] = score_words(self.model.probability, self.pieces, part)
             row.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        return self.logs[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(0)
+        return [self.logs[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(0) if words else None for words in cut]
 
 
 def _scorer(path: str, model: Model) -> _Scorer:
