@@ -46,7 +46,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters; runs of over 40 letters in parts."""
     runs = _RUN.findall((text or "").lower())
-    if any(len(r) > WORD_CHARS for r in runs):
+    if runs and max(map(len, runs)) > WORD_CHARS:
         runs = [r[a : a + WORD_CHARS] for r in runs for a in range(0, len(r), WORD_CHARS)]
     return runs
 
@@ -105,19 +105,22 @@ class Scorer:
         self.old: dict[str, int] = {}
 
     def distance(self, word: str) -> int:
-        found = self.new.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                window = f"{LEAD}{word} ".encode()
-                found = len(self.compress[1](window)) - len(self.compress[0](window))
-            self.new[word] = found
-            if len(self.new) >= CACHE_WORDS:
+        window = f"{LEAD}{word} ".encode()
+        return len(self.compress[1](window)) - len(self.compress[0](window))
+
+    def distances(self, words: list[str]) -> np.ndarray:
+        fresh = {w for w in words if w not in self.new}
+        if fresh:
+            if len(self.new) + len(fresh) > CACHE_WORDS:
                 self.old, self.new = self.new, {}
-        return found
+                fresh = set(words)
+            for w in fresh:
+                known = self.old.get(w)
+                self.new[w] = self.distance(w) if known is None else known
+        return np.fromiter(map(self.new.__getitem__, words), np.int64, len(words))
 
     def features(self, text: str | None) -> list[float]:
-        distances = np.fromiter(map(self.distance, words_of(text)), np.int64)
+        distances = self.distances(words_of(text))
         n = distances.size
         hits = [int((distances >= t).sum()) for t in THRESHOLDS]
         return [1.0, *(math.log1p(200.0 * h / (n + 20.0)) for h in hits), *(math.log1p(h) for h in hits)]
