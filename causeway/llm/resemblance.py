@@ -1,0 +1,170 @@
+"""Near duplicates by exact Jaccard similarity of word shingles, found without comparing all pairs.
+
+Shingles have one order for all texts: rare ones (in a bounded sample of texts) first, then by hash.  Two sets that are similar
+enough share one of the first few shingles of each (prefix filter), so texts are filed under those.  The order only says what
+is cheap; no similar pair is missed whatever it is.  Pairs are compared in two rounds: every text with one text under each of its
+shingles, and then only texts under one shingle that are not yet in one component, so that a large group of
+near copies is not paired with itself.
+
+Texts of the same words are one row from the start.  Words are bytes between ASCII white space, in ASCII lower case; a text of
+fewer words than a shingle has is one shingle.  Texts and shingles are known by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import functools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
+
+from causeway.llm.common import batched, map_batches
+from causeway.llm.simhash import shingle_hashes
+from causeway.plans.components import connected_components
+from causeway.plans.durable import written
+
+WORDS, SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted for the order, about.
+SAMPLE = 4000
+
+
+def digest(text: str | None) -> int:
+    """A signed hash of the words."""
+    found = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()))
+    return found - (1 << 64) if found >> 63 else found
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; one for a text without words."""
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64).view(np.int64))
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares at least with any set that similar."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the common order, one of which every similar set has among its own first."""
+    seen = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        seen = np.where(common[at] == own, counts[at], 0)
+    return own[np.lexsort((own, seen))[: len(own) - least_overlap(len(own), similarity) + 1]]
+
+
+def resembles(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of the sample, sorted, and in how many of its texts they are."""
+    share = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words))], names=["key"])
+
+    counted = texts.where(F.pmod("digest", F.lit(share)) == 0).select("text").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n"))
+    found = counted.where("n > 1").toArrow()
+    keys, counts = found.column("key").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.int32)
+
+
+def _filed(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(key, at)``: texts under their first shingles; ``at`` has the digest, the set's size and the shingle's place."""
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(_common(texts, words))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        keys, owners, sizes, places = [np.zeros(0, np.int64)], [], [], []
+        for who, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = shingles(text, words)
+            first = prefix(own, *common.value, similarity)
+            keys.append(first)
+            owners.append(np.full(len(first), who, np.int64))
+            sizes.append(np.full(len(first), len(own), np.int32))
+            places.append(np.arange(len(first), dtype=np.int32))
+        join = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]))
+        return {"key": join(keys, np.int64), "digest": join(owners, np.int64), "size": join(sizes, np.int32), "place": join(places, np.int32)}
+
+    rows = map_batches(texts.select("digest", "text"), work, "key bigint, digest bigint, size int, place int", 200)
+    return rows.select("key", F.struct("digest", "size", "place").alias("at"))
+
+
+def _fits(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets whose first common shingle has these places can be similar; true for one shingle at least of each similar pair."""
+    rest = F.least(a["size"] - a["place"], b["size"] - b["place"])
+    return rest * (1 + similarity) >= similarity * (a["size"] + b["size"]) - 1e-6
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs of digests ``(a, b)`` whose shingle sets are similar."""
+    left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = functools.lru_cache(64)(lambda text: shingles(text, words))
+        for batch in batched(100, batches):
+            met = [resembles(cut(x), cut(y), similarity) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(met, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: pairs of ``texts`` (digest, text; distinct) that are similar, enough of them for the components."""
+    under = Window.partitionBy("key")
+    filed = _filed(texts, words, similarity)
+    shared = filed.select("key", "at", F.min("at").over(under).alias("first"), F.count("*").over(under).alias("n")).where("n > 1").drop("n")
+    shared = written(shared, "shared-shingles")
+    near = written(texts.join(shared.select(F.col("at.digest").alias("digest")).distinct(), "digest", "left_semi"), "near-texts")
+
+    ends = lambda a, b: (F.least(a["digest"], b["digest"]).alias("a"), F.greatest(a["digest"], b["digest"]).alias("b"))
+    first, at = F.col("first"), F.col("at")
+    tried = written(shared.where(first["digest"] != at["digest"]).where(_fits(first, at, similarity)).select(*ends(first, at)).distinct(), "pairs")
+    found = written(_similar(tried, near, words, similarity), "links")
+
+    labels = connected_components(found).withColumnRenamed("node", "digest")
+    named = shared.select("key", "at", at["digest"].alias("digest")).join(labels, "digest", "left")
+    grouped = named.groupBy("key", F.coalesce("component", "digest").alias("c")).agg(F.collect_list("at").alias("members"))
+    grouped = written(grouped, "members")
+    x, y = grouped.select("key", F.col("c").alias("cx"), F.col("members").alias("mx")), grouped.select("key", F.col("c").alias("cy"), F.col("members").alias("my"))
+    apart = x.join(y, "key").where("cx < cy").select(F.explode("mx").alias("x"), "my").select("x", F.explode("my").alias("y"))
+    others = apart.where(_fits(F.col("x"), F.col("y"), similarity)).select(*ends(F.col("x"), F.col("y"))).distinct()
+    others = written(others.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(written(_similar(others, near, words, similarity), "links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each component of texts with a shingle similarity of ``similarity`` or more one row of ``docs``, that with the smallest id.
+
+    All columns stay.  Of repeated rows with that id one stays; a null id counts as the largest.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batched(500, batches):
+            yield batch.append_column("_digest", pa.array([digest(t) for t in batch.column(text_col).to_pylist()], pa.int64()))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "digest": pa.array([digest(t) for t in batch.column(1).to_pylist()], pa.int64()), "text": batch.column(1)}
+
+    marks = map_batches(rows, work, f"id {kind[id_col].dataType.simpleString()}, digest bigint, text string")
+    texts = written(marks.groupBy("digest").agg(F.min("id").alias("least"), F.first("text").alias("text")), "distinct-texts")
+    labels = connected_components(links(texts.select("digest", "text"), words, similarity)).withColumnRenamed("node", "digest")
+    classes = texts.select("digest", "least").join(labels, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    rank = F.struct(F.col("least").isNull(), "least", "digest")
+    chosen = classes.groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.least").alias("_kept_id"), F.col("m.digest").alias("_kept_digest"))
+    own = docs.mapInArrow(run, StructType([*kind.fields, StructField("_digest", LongType())]))
+    met = own.join(chosen, (F.col("_digest") == F.col("_kept_digest")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return met.dropDuplicates([id_col, "_digest"]).select(*docs.columns)

@@ -37,19 +37,25 @@ LENGTH, CHECKS = 23, 11
 SEGMENTS = (22, 21, 21)
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """A bit is set if it is in over half the XXH64 of the word shingles; without words, zero."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 of the word shingles, one for a text of fewer words; none without words."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     ends = [e + i for i, e in enumerate(accumulate(map(len, found)))]
     starts = [0] + [e + 1 for e in ends[:-1]]
     h = xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = [h(joined, SEED)]
-    else:
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
+        return [h(joined, SEED)]
+    return [h(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """A bit is set if it is in over half the XXH64 of the word shingles; without words, zero."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = np.array(hashes[at : at + 4096], ">u8").view(np.uint8).reshape(-1, 8)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import langid, packing, pii, simhash, toxicity
+from causeway.llm import langid, packing, pii, resemblance, toxicity
 from causeway.llm.common import table
 from causeway.plans.durable import written
 
@@ -30,8 +30,11 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest doc_id stays (of repeated rows, one)."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Of each component of near duplicates the row with the smallest doc_id stays (of repeated rows, one).
+
+    Near duplicates share eight tenths of their five-word shingles at least.
+    """
+    return resemblance.keep_one(docs).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
