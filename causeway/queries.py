@@ -184,7 +184,7 @@ def removal_impact(spark, sf_dir):
 
 def resilience_score(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "supplier")
-    return impact.analyze(written(edges, "edges"), written(nodes, "nodes"), budget=10)
+    return impact.analyze(written(edges, "edges"), written(nodes, "nodes"))
 
 
 def min_cut(spark, sf_dir):
