@@ -31,8 +31,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]
     return written(network.both_ways(edges), "ways"), nodes, nodes.count()
 
 
-def _sources(nodes: DataFrame, every: int = 1) -> DataFrame:
-    return nodes.where(F.col("id") % every == 0).select(F.lit(0).cast("bigint").alias("g"), F.col("id").alias("s"))
+def _sources(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.lit(0).cast("bigint").alias("g"), F.col("id").alias("s"))
 
 
 def annotate_edges(spark, sf_dir):
@@ -110,13 +110,13 @@ def apsp(spark, sf_dir):
 
 def sssp_hops(spark, sf_dir):
     ways, nodes, _ = _paths(spark, sf_dir)
-    return paths.shortest_paths(paths.hop_edges(ways), _sources(nodes, 10)).select("s", "v", F.col("d").cast("bigint").alias("hops"))
+    return paths.shortest_paths(paths.hop_edges(ways), _sources(nodes)).select("s", "v", F.col("d").cast("bigint").alias("hops"))
 
 
 def sigma_counts(spark, sf_dir):
     ways, nodes, _ = _paths(spark, sf_dir)
     hops = paths.with_graph(paths.hop_edges(ways))
-    distances = paths.shortest_paths(hops, _sources(nodes, 10))
+    distances = paths.shortest_paths(hops, _sources(nodes))
     return paths.path_counts(distances, paths.tight_edges(distances, hops)).select("s", "v", F.col("sigma").cast("bigint").alias("sigma"))
 
 

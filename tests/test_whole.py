@@ -9,3 +9,10 @@ def test_resilience_score_has_the_full_budget(spark, data, monkeypatch):
     monkeypatch.setattr(impact, "analyze", lambda edges, nodes, budget=impact.BUDGET: seen.update(budget=budget))
     queries.resilience_score(spark, data)
     assert seen == {"budget": 400}
+
+
+def test_hops_and_counts_have_every_source(spark, data):
+    _, _, nodes = queries._network(spark, data, "supplier")
+    every = {r["id"] for r in nodes.select("id").collect()}
+    for query in (queries.sssp_hops, queries.sigma_counts):
+        assert {r["s"] for r in query(spark, data).collect()} == every
