@@ -177,8 +177,8 @@ def current_flow(spark, sf_dir):
 
 def removal_impact(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "supplier")
-    longest = edges.orderBy(F.desc(F.round("w", 4)), "u", "v").limit(5)
-    found = impact.removal_impact(edges, nodes, longest)
+    edges = written(edges, "edges")
+    found = impact.removal_impact(edges, nodes, edges)
     return found.select("u", "v", F.round("relative_drop", 6).alias("relative_drop"), "lcc_before", "lcc_after", "fragmented", "newly_disconnected_pairs")
 
 

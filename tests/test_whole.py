@@ -16,3 +16,9 @@ def test_hops_and_counts_have_every_source(spark, data):
     every = {r["id"] for r in nodes.select("id").collect()}
     for query in (queries.sssp_hops, queries.sigma_counts):
         assert {r["s"] for r in query(spark, data).collect()} == every
+
+
+def test_removal_impact_has_every_edge(spark, data):
+    _, edges, _ = queries._network(spark, data, "supplier")
+    every = {(r["u"], r["v"]) for r in edges.select("u", "v").collect()}
+    assert len(every) > 5 and {(r["u"], r["v"]) for r in queries.removal_impact(spark, data).collect()} == every
