@@ -219,18 +219,19 @@ def restoration_priority(spark, sf_dir):
 
 def robustness_random(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "supplier")
-    return scenarios.random_attack(edges, nodes, 10).select("step", F.round("fraction", 6).alias("fraction"), F.round("lcc", 6).alias("lcc"))
+    return scenarios.random_attack(edges, nodes).select("step", F.round("fraction", 6).alias("fraction"), F.round("lcc", 6).alias("lcc"))
 
 
 def robustness_targeted(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "supplier")
-    found = scenarios.targeted_attack(written(edges, "edges"), written(nodes, "nodes"), 2)
+    found = scenarios.targeted_attack(written(edges, "edges"), written(nodes, "nodes"))
     return found.select("step", F.round("fraction", 6).alias("fraction"), F.round("lcc", 6).alias("lcc"))
 
 
 def robustness_auc(spark, sf_dir):
-    curve = robustness_random(spark, sf_dir).withColumn("strategy", F.lit("random"))
-    return stats.area_under(curve, "fraction", "lcc", ["strategy"]).select("strategy", F.round("auc", 6).alias("auc"))
+    """One row for each strategy."""
+    curves = robustness_random(spark, sf_dir).withColumn("strategy", F.lit("random")).unionByName(robustness_targeted(spark, sf_dir).withColumn("strategy", F.lit("targeted")))
+    return stats.area_under(curves, "fraction", "lcc", ["strategy"]).select("strategy", F.round("auc", 6).alias("auc"))
 
 
 def spearman(spark, sf_dir):
