@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,21 +22,39 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> list[tuple[str, int]]:
-    """(text, 0 or 1) of at most ``per_class`` documents of each class outside the held-out fold.
+@dataclass
+class LabelledSample:
+    """(text, 0 or 1) of some labelled documents, and for each class how many labelled documents one of them stands for."""
 
-    They are those with the smallest hash of the id.  Ids labelled more than once count once, with the largest
-    label; null labels and texts are left out.
+    rows: list[tuple[str, int]]
+    lengths: list[int | None]
+    weight: dict[int, float]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, class_bytes: int, length_col: str | None = None) -> LabelledSample:
+    """Labelled documents outside the held-out fold: at most ``per_class`` and ``class_bytes`` bytes of text of each class.
+
+    They are those with the smallest hash of the id; texts over a sixteenth of ``class_bytes`` are passed over.  Ids labelled more
+    than once count once, with the largest label; null labels and texts are left out.  All labelled ids are counted, so that fits can
+    weigh a class by its true share whatever the sample holds of it.
     """
     known = labels.where((fold_of("doc_id", folds) != held_out) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).where("label in (0, 1)")
+    total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     # Two top-k selections of per_class small rows bound what is sent to every executor.
     drawn = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    return sorted((r["text"], r["label"]) for r in found.collect())
+    length = F.col(length_col).cast("bigint") if length_col else F.lit(None).cast("bigint")
+    texts = docs.select("doc_id", "text", length.alias("length")).where(F.col("text").isNotNull() & (F.octet_length("text") <= class_bytes // 16))
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "length")).alias("own"), F.min("label").alias("label"))
+    # The rows number 2 * per_class at most, so one window over each class is small.
+    running = F.sum(F.octet_length("own.text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    kept_rows = found.withColumn("bytes", running).where(F.col("bytes") <= class_bytes)
+    rows = sorted(((r["text"], r["label"], r["length"]) for r in kept_rows.select("own.text", "label", "own.length").collect()), key=lambda r: (r[0], r[1]))
+    size = Counter(y for _, y, _ in rows)
+    return LabelledSample([(t, y) for t, y, _ in rows], [n for *_, n in rows], {y: total[y] / n for y, n in size.items()})
 
 
 #: Shares that the rows of one key are dealt into in a salted join.

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import fold_of, kept, labelled_sample, map_batches
+from causeway.llm.common import LabelledSample, fold_of, kept, labelled_sample, map_batches
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled texts of each class that are fitted on, at most.
-PER_CLASS = 2000
+#: Labelled texts of each class that are fitted on, at most, and bytes of all of them.
+PER_CLASS, CLASS_BYTES = 2000, 16 << 20
 #: Buckets that words are hashed into, length of the vectors, and passes of the fit.
 BUCKETS, FACTORS, PASSES = 1 << 14, 8, 12
 RATE, WORD_DECAY, DECAY = 0.05, 2e-3, 1e-4
@@ -120,12 +120,19 @@ def _scaled(model: Model, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """Adagrad on the logistic loss over labelled texts; None where a class is missing.  Classes are weighted to their shares."""
+def fit(sample: LabelledSample) -> Model | None:
+    """Adagrad on the logistic loss over labelled texts and their metadata; None where a class is missing.
+
+    A text counts as often as it stands for labelled documents of its class, so that scores are alike however many of each class
+    the sample holds.
+    """
+    rows = sample.rows
     if len({y for _, y in rows}) < 2:
         return None
+    mean = sum(sample.weight[y] for _, y in rows) / len(rows)
+    weight = {y: w / mean for y, w in sample.weight.items()}
     bucket: dict[str, int] = {}
-    made = [inputs(t, None, bucket) for t, _ in rows]
+    made = [inputs(t, n, bucket) for (t, _), n in zip(rows, sample.lengths, strict=True)]
     k, size = len(STATISTICS), len(STATISTICS) + BUCKETS
     first = np.array([x[:k] for _, x in made])
     model = Model(np.zeros(size), np.random.default_rng(7).normal(0, 0.02, (size, FACTORS)), first.mean(0), np.maximum(first.std(0), 1e-3))
@@ -138,7 +145,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
             vectors = model.vector[at]
             s = x @ vectors
             z = model.weight[at] @ x + 0.5 * (s @ s - (x * x) @ (vectors * vectors).sum(1))
-            slope = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
+            slope = weight[y] * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y)
             decay = np.where(at < k, DECAY, WORD_DECAY)
             gw = slope * x + decay * model.weight[at]
             gv = slope * (x[:, None] * s[None, :] - vectors * (x * x)[:, None]) + decay[:, None] * vectors
@@ -149,8 +156,8 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model | None:
+    return fit(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class, class_bytes, "n_chars" if "n_chars" in docs.columns else None))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

@@ -4,11 +4,15 @@ import numpy as np
 import pytest
 
 from causeway.llm import langid, quality, toxicity
-from causeway.llm.common import table
+from causeway.llm.common import LabelledSample, labelled_sample, table
 
 BAD = ["worthless", "idiot", "pathetic", "moron"]
 
 
+def sample_of(rows):
+    return LabelledSample(rows, [None] * len(rows), {0: 1.0, 1: 1.0})
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rnd = np.random.default_rng(1)
@@ -38,6 +42,62 @@ def test_quality_learns(spark, labelled):
     assert (found["predicted"] == found["quality"]).mean() > 0.95
 
 
+def test_windows_hold_the_whole_text_and_overlap():
+    for n in (0, 1, 35, 36, 37, 55, 56, 57, 5000):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        windows = toxicity.windows_of(text)
+        assert all(w == text.encode()[20 * i : 20 * i + 36] for i, w in enumerate(windows))
+        assert b"".join(w[:20] for w in windows[:-1]) + (windows[-1] if windows else b"") == text.encode()
+    assert toxicity.windows_of(None) == []
+
+
+def test_distances_equal_compressed_lengths(labelled):
+    """Every window's distance against plain compression with either dictionary, and features against counts."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    assert model.usable and len(model.pairs) > 1
+    scorer = toxicity.Scorer(model)
+    for text in [r["text"] for r in docs.limit(20).collect()] + ["", None, "x" * 5000]:
+        wanted = []
+        for w in toxicity.windows_of(text):
+            each = [len(toxicity._compressor(o)(w)) - len(toxicity._compressor(t)(w)) for t, o in model.pairs]
+            wanted.append(sum(each) if each[0] >= toxicity.GATE else 0)
+        got = scorer.distances(text)
+        assert got.tolist() == wanted
+        hits = [sum(d >= t for d in wanted) for t in model.thresholds]
+        assert np.allclose(toxicity.features(got, model.thresholds)[6:], np.log1p(hits))
+
+
+def test_it_is_no_list_of_words(labelled):
+    """Toxic words run into others, cut or with marks in them still count: windows are compressed, not looked up."""
+    docs, labels = labelled
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    plain = "the house river and stone walks green letter often under mountain speaks " * 3
+    glued = plain + "theworthlesshouse pathetically riverpathetic idiotic worthlessness anidiotand green patheticworthless " + plain
+    assert scorer.score(glued) > 0.5 > scorer.score(plain)
+
+
+def test_scores_do_not_move_with_the_shares_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", 5) for i in range(300)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "quality", 5, 0, 20, 1 << 20, "n_chars")
+    number = {y: sum(v == y for _, v in sample.rows) for y in (0, 1)}
+    held = {r["doc_id"]: r["quality"] for r in labels.collect() if __import__("zlib").crc32(str(r["doc_id"]).encode()) % 5}
+    assert number[0] == 20 and {y: round(sample.weight[y] * number[y]) for y in (0, 1)} == {y: sum(v == y for v in held.values()) for y in (0, 1)}
+    assert set(sample.lengths) == {5}
+
+
+def test_quality_sees_the_metadata_when_it_learns():
+    rnd = np.random.default_rng(4)
+    rows, lengths = [], []
+    for i in range(300):
+        rows.append((" ".join(rnd.choice(["aa", "bb", "cc", "dd"], 30)) + f" {i}", i % 2))
+        lengths.append(5 if i % 2 else 500_000)
+    model = quality.fit(LabelledSample(rows, lengths, {0: 1.0, 1: 1.0}))
+    score = lambda n: quality.raw_score(model, *(lambda at, x: (at, quality._scaled(model, x)))(*quality.inputs("aa bb cc dd " * 8, n, {})))
+    assert score(5) > 0 > score(500_000)
+
+
 def test_sum_of_squares_identity():
     rnd = np.random.default_rng(0)
     size = len(quality.STATISTICS) + 30
