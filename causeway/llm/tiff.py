@@ -2,12 +2,17 @@
 
 The reader walks the chain of image directories (either byte order), decodes strips or tiles packed by
 PackBits, LZW or deflate, undoes horizontal differencing and puts the parts together.  The writer makes
-8-bit grey images of 64 samples a row, in pages of bounded height.
+8-bit grey images of 64 samples a row, in pages of bounded height.  A page's codec, predictor and layout follow from a hash of its
+samples: a third of all pages each for PackBits, LZW and deflate, half of them in tiles and half in strips, whatever their size.
+
+Nothing is taken on trust: sizes are checked against the bytes there are before anything is allocated, and decoders stop at the
+size that the directory states.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,31 +37,34 @@ ROW = 64
 PAGE_ROWS = 1024
 STRIP_ROWS = 64
 TILE = 64
-#: Payloads up to so many bytes are packed by PackBits, then by LZW, larger ones by deflate.
-PACKBITS_UP_TO, LZW_UP_TO = 256, 512
-
-
-def pack_bits(data: bytes) -> bytes:
-    """Runs of two or more bytes as a count and the byte, other bytes as they are."""
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        start = at
-        while at < n and at - start < 128 and (at + 1 >= n or data[at + 1] != data[at]):
-            at += 1
-        out += bytes((at - start - 1,)) + data[start:at]
+#: Decoded bytes of a page at most (own pages have 64 KiB); larger ones give an error row.
+PAGE_BYTES = 1 << 28
+#: Most bytes that one packed byte can stand for, by codec; images that state more are broken.
+RATIO = {NONE: 1, LZW: 4096, ADOBE_DEFLATE: 1100, DEFLATE: 1100, PACKBITS: 64}
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
+def pack_bits(row: bytes) -> bytes:
+    """Runs of three or more bytes as a count and the byte, other bytes as they are.  The format packs every row by itself."""
+    out, at = bytearray(), 0
+    for run in _RUN.finditer(row):
+        for a in range(at, run.start(), 128):
+            part = row[a : min(a + 128, run.start())]
+            out.append(len(part) - 1)
+            out += part
+        at = run.end()
+        out += bytes((257 - (at - run.start()), row[run.start()]))
+    for a in range(at, len(row), 128):
+        part = row[a : a + 128]
+        out.append(len(part) - 1)
+        out += part
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int) -> bytes:
+    """At most ``size`` bytes, give or take a packet."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < size:
         head = data[at]
         if head < 128:
             out += data[at + 1 : at + 2 + head]
@@ -69,87 +77,112 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def code_widths() -> np.ndarray:
+    """Bits of the codes after a clear code, in their order.
+
+    Writer and reader widen one entry early, as the specification asks; the first code adds no entry.
+    """
+    entries = FIRST + np.maximum(np.arange(4094 - FIRST + 2) - 1, 0)
+    return np.where(entries < 511, 9, np.where(entries < 1023, 10, np.where(entries < 2047, 11, 12)))
+
+
+_WIDTHS = code_widths()
+_SINGLES = [bytes((i,)) for i in range(256)]
+#: Codes between two clear codes, so that none needs more than 12 bits.
+_CODES = 4094 - FIRST
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, a code wider one entry early as the specification asks."""
-    table = {bytes((i,)): i for i in range(256)}
-    value, bits, width, out, word = CLEAR, 9, 9, bytearray(), b""
-    following = FIRST
-
-    def put(code: int) -> None:
-        nonlocal value, bits
-        value = value << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(value >> bits & 255)
-        value &= (1 << bits) - 1
-
-    for i in range(len(data)):
-        more = word + data[i : i + 1]
+    """Codes of 9 to 12 bits, most significant bit first; cleared before a code would need more."""
+    codes, places, word, place = [CLEAR], [0], b"", 0
+    table, following = dict(zip(_SINGLES, range(256), strict=True)), FIRST
+    for byte in map(_SINGLES.__getitem__, data):
+        more = word + byte
         if more in table:
             word = more
             continue
-        put(table[word])
+        codes.append(table[word])
+        places.append(place)
+        place += 1
         table[more] = following
         following += 1
-        if following == 4094:
-            put(CLEAR)
-            table = {bytes((i,)): i for i in range(256)}
-            following, width = FIRST, 9
-        elif following == 1 << width:
-            width += 1
-        word = data[i : i + 1]
+        word = byte
+        if place == _CODES:
+            codes.append(CLEAR)
+            places.append(place)
+            table, following, place = dict(zip(_SINGLES, range(256), strict=True)), FIRST, 0
     if word:
-        put(table[word])
-        if following + 1 == 1 << width and width < 12:
-            width += 1
-    put(END)
-    if bits:
-        out.append(value << (8 - bits) & 255)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
-    singles = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, value, bits, out, before = list(singles), 9, 0, 0, [], None
-    for byte in data:
-        value, bits = value << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = value >> bits
-        value &= (1 << bits) - 1
-        if code == END:
+        codes.append(table[word])
+        places.append(place)
+        place += 1
+    codes.append(END)
+    places.append(place)
+    bit, width = np.arange(11, -1, -1), _WIDTHS[np.array(places)]
+    bits = (np.array(codes)[:, None] >> bit) & 1
+    return np.packbits(bits[bit < width[:, None]].astype(np.uint8)).tobytes()
+
+
+def lzw_decode(data: bytes, size: int) -> bytes:
+    """At most ``size`` bytes, give or take a word.  Widths follow from the number of codes since the last clear code, so a run of codes is cut at once."""
+    bits = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    total, at = 8 * len(data), 0
+    ends = np.cumsum(_WIDTHS)
+    out: list[bytes] = []
+    length = 0
+    fresh = False
+    while at + 9 <= total and length < size:
+        n = int(np.searchsorted(ends, total - at, side="right"))
+        starts = at + ends[:n] - _WIDTHS[:n]
+        cell = starts >> 3
+        word = bits[cell] << 16 | bits[cell + 1] << 8 | bits[cell + 2]
+        codes = word >> (24 - (starts & 7) - _WIDTHS[:n]) & ((1 << _WIDTHS[:n]) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        last = int(stop[0]) if stop.size else n
+        table, before = None, b""
+        for code in codes[:last].tolist():
+            if table is None:
+                table = [*_SINGLES, b"", b""]
+                if code > 255:
+                    raise ValueError("LZW code beyond the table")
+                entry = table[code]
+            elif code < len(table):
+                entry = table[code]
+                table.append(before + entry[:1])
+            elif code == len(table):
+                entry = before + before[:1]
+                table.append(entry)
+            else:
+                raise ValueError("LZW code beyond the table")
+            out.append(entry)
+            length += len(entry)
+            before = entry
+            if length >= size:
+                break
+        if not stop.size or codes[last] == END:
+            if not stop.size and n == len(_WIDTHS):
+                raise ValueError("LZW table runs over")
             break
-        if code == CLEAR:
-            table, width, before = list(singles), 9, None
-            continue
-        if before is None:
-            word = table[code]
-        elif code < len(table):
-            word = table[code]
-            table.append(before + word[:1])
-        elif code == len(table):
-            word = before + before[:1]
-            table.append(word)
-        else:
-            raise ValueError("LZW code beyond the table")
-        out.append(word)
-        before = word
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+        if last == 0 and fresh:
+            raise ValueError("LZW clear codes without an end")
+        fresh = last == 0
+        at += int(ends[last])
     return b"".join(out)
 
 
-_PACK = {NONE: bytes, LZW: lzw_encode, ADOBE_DEFLATE: lambda d: zlib.compress(d, 1), DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
-_UNPACK = {NONE: bytes, LZW: lzw_decode, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, size: int) -> bytes:
+    """At most ``size`` bytes, whatever the stream would grow to."""
+    return zlib.decompressobj().decompress(data, size)
+
+
+_PACK = {NONE: bytes, LZW: lzw_encode, ADOBE_DEFLATE: lambda d: zlib.compress(d, 1), DEFLATE: lambda d: zlib.compress(d, 1)}
+_UNPACK = {NONE: lambda d, n: d, LZW: lzw_decode, ADOBE_DEFLATE: inflate, DEFLATE: inflate, PACKBITS: unpack_bits}
 
 
-def encode_image(pages: list[np.ndarray], compression: int, predictor: int = 1, tiled: bool = False, order: str = "<") -> bytes:
-    """A TIFF of grey 8-bit pages (rows by samples), in strips or in square tiles."""
+def encode_image(pages: list[np.ndarray], kinds: list[tuple[int, int, bool]], order: str = "<") -> bytes:
+    """A TIFF of grey 8-bit pages (rows by samples); ``kinds`` has each page's codec, predictor, and whether it lies in square tiles."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    for page in pages:
+    for page, (compression, predictor, tiled) in zip(pages, kinds, strict=True):
         height, width = page.shape
         if tiled:
             full = np.zeros((-(-height // TILE) * TILE, -(-width // TILE) * TILE), np.uint8)
@@ -161,7 +194,8 @@ def encode_image(pages: list[np.ndarray], compression: int, predictor: int = 1,
         for part in parts:
             if predictor == 2:
                 part = np.diff(part, axis=1, prepend=np.zeros((part.shape[0], 1), np.uint8))
-            packed = _PACK[compression](np.ascontiguousarray(part, np.uint8).tobytes())
+            raw, across = np.ascontiguousarray(part, np.uint8).tobytes(), part.shape[1]
+            packed = b"".join(pack_bits(raw[a : a + across]) for a in range(0, len(raw), across)) if compression == PACKBITS else _PACK[compression](raw)
             offsets.append(len(out))
             sizes.append(len(packed))
             out += packed + b"\0" * (len(packed) % 2)
@@ -213,8 +247,8 @@ def walk(data: bytes) -> Iterator[dict[int, list[int]]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
-def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """Rows by columns by samples of one directory's image, 8 bits a sample."""
+def decode_page(data: bytes, tags: dict[int, list[int]], page_bytes: int = PAGE_BYTES) -> np.ndarray:
+    """Rows by columns by samples of one directory's image, 8 bits a sample.  Raises ``ValueError`` on what it can't or won't decode."""
     width, height = tags[WIDTH][0], tags[HEIGHT][0]
     samples, compression = tags.get(SAMPLES, [1])[0], tags.get(COMPRESSION, [NONE])[0]
     predictor = tags.get(PREDICTOR, [1])[0]
@@ -223,14 +257,26 @@ def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     tiled = TILE_OFFSETS in tags
     across, down = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(tags.get(ROWS_PER_STRIP, [height])[0], height))
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
-    out, columns = np.zeros((height, width, samples), np.uint8), -(-width // across)
-    for k, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("an image, strip or tile without extent")
+    columns = -(-width // across)
+    if len(offsets) != len(sizes) or len(offsets) != columns * -(-height // down):
+        raise ValueError("wrong number of strips or tiles")
+    if max(width * height, across * down) * samples > page_bytes:
+        raise ValueError(f"page of more than {page_bytes} bytes")
+    if any(at + n > len(data) for at, n in zip(offsets, sizes, strict=True)):
+        raise ValueError("strip or tile outside the file")
+    heights = [down if tiled else min(down, height - k // columns * down) for k in range(len(offsets))]
+    if any(rows * across * samples > RATIO[compression] * (n + 1) for rows, n in zip(heights, sizes, strict=True)):
+        raise ValueError("strip or tile cut short")
+    out = np.zeros((height, width, samples), np.uint8)
+    for k, (at, n, rows) in enumerate(zip(offsets, sizes, heights, strict=True)):
         y, x = k // columns * down, k % columns * across
-        rows = down if tiled else min(down, height - y)
-        raw = np.frombuffer(_UNPACK[compression](data[at : at + n]), np.uint8)
-        if raw.size < rows * across * samples:
+        size = rows * across * samples
+        raw = np.frombuffer(_UNPACK[compression](data[at : at + n], size), np.uint8)
+        if raw.size < size:
             raise ValueError("strip or tile cut short")
-        part = raw[: rows * across * samples].reshape(rows, across, samples)
+        part = raw[:size].reshape(rows, across, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
         out[y : y + down, x : x + across] = part[: height - y, : width - x]
@@ -243,13 +289,18 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\0"), len(raw)
 
 
+def kind_of(page: bytes) -> tuple[int, int, bool]:
+    """Codec, predictor and layout of a page, by a hash of its samples: all kinds get even shares of pages of any size."""
+    h = zlib.crc32(page)
+    compression = (PACKBITS, LZW, ADOBE_DEFLATE)[h % 3]
+    return compression, 1 if compression == PACKBITS else 1 + (h // 3) % 2, bool((h // 6) % 2)
+
+
 def image_of(payload: bytes) -> bytes:
-    """A payload as an image: small ones by PackBits or LZW in strips, others by deflate, long ones in tiles."""
+    """A payload as an image of one or more pages, each of the kind that its samples choose."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     pages = [rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)]
-    if len(payload) <= LZW_UP_TO:
-        return encode_image(pages, PACKBITS if len(payload) <= PACKBITS_UP_TO else LZW)
-    return encode_image(pages, ADOBE_DEFLATE, 2, tiled=len(rows) > 2 * TILE)
+    return encode_image(pages, [kind_of(p.tobytes()) for p in pages])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,34 +318,53 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 PAGE_FIELDS = "page int, n_pages int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
 
 
-def read_pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """One row per page of every image, with the columns in ``keep``.
+def read_pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("id",), page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """One row per page of every image, with the columns in ``keep``; the page columns' names must not be among them.
 
-    A null image, or one that can't be read, gives one row with null page columns and ``error``.
-    Pages of an image follow each other in order.
+    A null image, or one whose header can't be read, gives one row with null page columns and ``error``; a page that can't be
+    decoded gives such a row in its place, and what follows it is left out.  Pages of an image follow each other in order.
     """
     kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, *(x.split()[0] for x in PAGE_FIELDS.split(", "))]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns that pages have too: {sorted({n for n in names if names.count(n) > 1})}")
+
+    def rows_of(data: bytes | None) -> Iterator[tuple]:
+        try:
+            if data is None:
+                raise ValueError("no image")
+            directories, broken = [], None
+            try:
+                directories.extend(walk(data))
+            except (ValueError, struct.error) as e:
+                broken = e
+            for n, tags in enumerate(directories):
+                image = decode_page(data, tags, page_bytes)
+                yield n, len(directories), image.shape[1], image.shape[0], image.shape[2], tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0], image.tobytes(), None
+            if broken or not directories:
+                raise broken or ValueError("no image directory")
+        except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+            yield (None,) * 8 + (f"{type(e).__name__}: {e}",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32()] * 7 + [pa.binary(), pa.string()]
-        names = [*keep, *(x.split()[0] for x in PAGE_FIELDS.split(", "))]
-        for batch in batched(200, batches):
-            rows, source = [], []
-            for k, data in enumerate(batch.column(len(keep)).to_pylist()):
-                try:
-                    if data is None:
-                        raise ValueError("no image")
-                    directories = list(walk(data))
-                    own = []
-                    for n, tags in enumerate(directories):
-                        image = decode_page(data, tags)
-                        own.append((n, len(directories), image.shape[1], image.shape[0], image.shape[2], tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0], image.tobytes(), None))
-                except (ValueError, LookupError, struct.error, zlib.error) as e:
-                    own = [(None,) * 8 + (f"{type(e).__name__}: {e}",)]
-                rows += own
-                source += [k] * len(own)
+
+        def made(batch: pa.RecordBatch, rows: list, source: list) -> pa.RecordBatch:
             columns = [c.take(pa.array(source, pa.int32())) for c in batch.columns[: len(keep)]]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            own = list(zip(*rows, strict=True)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, t in zip(own, types, strict=True)], names=names)
+
+        for batch in batched(200, batches):
+            rows, source, size = [], [], 0
+            for k in range(batch.num_rows):
+                for row in rows_of(batch.column(len(keep))[k].as_py()):
+                    rows.append(row)
+                    source.append(k)
+                    size += len(row[7] or b"")
+                    if size > 8 << 20:
+                        yield made(batch, rows, source)
+                        rows, source, size = [], [], 0
+            yield made(batch, rows, source)
 
     return media.select(*keep, F.col(media_col).alias("_media")).mapInArrow(run, f"{kept}, {PAGE_FIELDS}")
 
@@ -313,9 +383,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pixels = np.frombuffer(row["pixels"], np.uint8)
             wide = pixels.reshape(row["height"], -1).astype(np.int64)
             if row["page"] == 0:
-                state = [hashlib.sha256(), 0, 0, 0, 0]
+                state = [hashlib.sha256(), 0, 0, 0, 0, set()]
             state[0].update(row["pixels"])
             state[1] += pixels.size
+            state[5].add(row["compression"])
             state[2] += int(wide.sum())
             state[3] += int((wide * wide).sum())
             state[4] += int(np.abs(np.diff(wide, axis=1)).sum())
@@ -323,7 +394,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = state[1]
                 mean = state[2] / n
                 spread = max(0.0, state[3] / n - mean * mean) ** 0.5
-                feature = f"pages={row['n_pages']};compression={row['compression']};mean={mean:.4f};spread={spread:.4f};contrast={state[4] / n:.4f}"
+                feature = f"pages={row['n_pages']};codecs={'+'.join(map(str, sorted(state[5])))};mean={mean:.4f};spread={spread:.4f};contrast={state[4] / n:.4f}"
                 done.append({"doc_id": row["id"], "n_bytes": row["n_bytes"], "payload_bytes": n, "payload_sha256": state[0].hexdigest(), "tail_crc32": zlib.crc32(row["pixels"][-64:]), "media_bytes": row["media_bytes"], "media_sha256": row["media_sha256"], "feature": feature})
         names = [x.split()[0] for x in _FOLDED.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -47,18 +47,59 @@ def test_archives_are_plain_warc_and_are_deduplicated(spark, pages):
         list(warc.parse_archive(b"no archive"))
 
 
-def test_tiff_round_trips(spark):
+KINDS = [(c, p, t) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.ADOBE_DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (False, True)]
+
+
+def test_tiff_round_trips():
     rnd = np.random.default_rng(0)
-    for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.ADOBE_DEFLATE, tiff.PACKBITS):
-        for predictor in (1, 2):
-            for tiled in (False, True):
-                for order in "<>":
-                    pages = [rnd.integers(0, 5, (h, 100), dtype=np.uint8) for h in (1, 64, 130)]
-                    image = tiff.encode_image(pages, compression, predictor, tiled, order)
-                    assert all((tiff.decode_page(image, t)[:, :, 0] == p).all() for p, t in zip(pages, tiff.walk(image), strict=True))
-    for n in range(0, 9000, 37):
-        raw = bytes(rnd.integers(97, 101, n, dtype=np.uint8))
-        assert tiff.lzw_decode(tiff.lzw_encode(raw)) == raw and tiff.unpack_bits(tiff.pack_bits(raw)) == raw
+    for kind in KINDS:
+        for order in "<>":
+            pages = [rnd.integers(0, 5, (h, 100), dtype=np.uint8) for h in (1, 64, 130)]
+            image = tiff.encode_image(pages, [kind] * 3, order)
+            assert all((tiff.decode_page(image, t)[:, :, 0] == p).all() for p, t in zip(pages, tiff.walk(image), strict=True))
+    for n in [*range(0, 9000, 37), 70_000]:
+        for top in (98, 101, 256):
+            raw = bytes(rnd.integers(97, top, n, dtype=np.uint8))
+            packed = tiff.lzw_encode(raw)
+            assert tiff.lzw_decode(packed, n) == plain_lzw(packed) == raw
+            assert tiff.unpack_bits(tiff.pack_bits(raw), n) == raw
+
+
+def plain_lzw(data):
+    """A textbook decoder, bit by bit."""
+    bits = "".join(f"{b:08b}" for b in data)
+    at, width, table, before, out = 0, 9, [], None, b""
+    while True:
+        code = int(bits[at : at + width], 2)
+        at += width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, before = [bytes((i,)) for i in range(256)] + [b"", b""], 9, None
+            continue
+        word = table[code] if code < len(table) else before + before[:1]
+        if before is not None:
+            table.append(before + word[:1])
+        out, before = out + word, word
+        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+
+
+def test_pack_bits_packs_rows_apart():
+    page = np.full((8, 64), 7, np.uint8)
+    image = tiff.encode_image([page], [(tiff.PACKBITS, 1, False)])
+    (tags,) = tiff.walk(image)
+    at, n = tags[tiff.STRIP_OFFSETS][0], tags[tiff.STRIP_SIZES][0]
+    assert image[at : at + n] == bytes((257 - 64, 7)) * 8
+
+
+def test_every_codec_and_layout_sees_its_share():
+    """Of the pages of texts of any size, a third goes to each codec and half to tiles."""
+    rnd = np.random.default_rng(6)
+    for size in (64, 640, 6400, 65536):
+        kinds = [tiff.kind_of(bytes(rnd.integers(97, 123, size, dtype=np.uint8))) for _ in range(1500)]
+        for codec in (tiff.PACKBITS, tiff.LZW, tiff.ADOBE_DEFLATE):
+            assert 0.28 < sum(k[0] == codec for k in kinds) / 1500 < 0.39
+            assert 0.4 < sum(k[2] for k in kinds if k[0] == codec) / sum(k[0] == codec for k in kinds) < 0.6
 
 
 def test_document_media(spark, docs, empty):
@@ -74,11 +115,42 @@ def test_document_media(spark, docs, empty):
     assert tiff.document_media(empty).count() == 0
 
 
+def changed(image, tag, value):
+    """The image with the first value of a tag of its first directory replaced."""
+    raw = bytearray(image)
+    at = int.from_bytes(raw[4:8], "little")
+    for k in range(int.from_bytes(raw[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(raw[entry : entry + 2], "little") == tag:
+            raw[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+    return bytes(raw)
+
+
 def test_bad_images_give_an_error_row(spark):
-    loop = bytearray(tiff.encode_image([np.zeros((1, 64), np.uint8)], tiff.NONE))
+    page = np.zeros((1, 64), np.uint8)
+    loop = bytearray(tiff.encode_image([page], [(tiff.NONE, 1, False)]))
     loop[-4:] = loop[4:8]
-    media = spark.createDataFrame([(1, None), (2, b"none"), (3, bytes(loop))], "id int, media binary")
-    assert all(r["error"] for r in tiff.read_pages(media).collect())
+    bad = [None, b"", b"none", b"II*\0\0\0\0\0"]
+    for kind in KINDS:
+        good = tiff.encode_image([page], [kind])
+        for tag in (tiff.WIDTH, tiff.HEIGHT):
+            bad += [changed(good, tag, 0), changed(good, tag, (1 << 32) - 1), changed(good, tag, 1 << 20)]
+        if kind[2]:
+            bad += [changed(good, tag, v) for tag in (tiff.TILE_WIDTH, tiff.TILE_HEIGHT) for v in (0, (1 << 32) - 1, 1 << 20)]
+        bad.append(changed(good, tiff.TILE_OFFSETS if kind[2] else tiff.STRIP_OFFSETS, 1 << 31))
+    # A strip that inflates to a gigabyte is read up to the size of the page, a page that claims a gigabyte not at all.
+    bomb = zlib.compress(bytes(1 << 26), 9)
+    grown = bytearray(tiff.encode_image([page], [(tiff.ADOBE_DEFLATE, 1, False)]))
+    grown = changed(changed(bytes(grown) + bomb, tiff.STRIP_OFFSETS, len(grown)), tiff.STRIP_SIZES, len(bomb))
+    media = spark.createDataFrame(list(enumerate([*bad, grown])), "id int, media binary")
+    rows = {r["id"]: r for r in tiff.read_pages(media).collect()}
+    assert all(rows[i]["error"] for i in range(len(bad)))
+    assert rows[len(bad)]["pixels"] == bytes(64)
+    big = changed(changed(grown, tiff.HEIGHT, 1 << 20), tiff.ROWS_PER_STRIP, 1 << 20)
+    assert all(r["error"] for r in tiff.read_pages(spark.createDataFrame([(1, big)], "id int, media binary"), page_bytes=1 << 24).collect())
+    # What comes before a broken page or link stays.
+    rows = tiff.read_pages(spark.createDataFrame([(3, bytes(loop))], "id int, media binary")).collect()
+    assert [bool(r["error"]) for r in rows] == [False, True]
 
 
 def test_digest_against_brute_force(spark, docs, empty):
