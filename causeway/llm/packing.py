@@ -5,8 +5,8 @@ placed online: into the fill level that makes the sum over levels of squared cou
 partially filled windows smallest (a new window counts as level 0).  The counts lie in a
 level array, so a placement costs one pass over that array.
 
-Each task packs its own rows, with no shuffle.  When many windows are open, and at the task's end, the open windows are
-poured into full ones (documents may be cut freely); the very last tokens become
+Each task packs its own rows, with no shuffle.  At a task's end the level array is emptied: from the highest level down, windows get
+their exact room cut off what lies on the lowest (documents may be cut freely).  The one window that is left becomes
 windows whose lengths are powers of two, which need no padding.
 """
 
@@ -30,17 +30,16 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 WINDOW = 2048
 END_ID = 1
-#: Open windows of a task before they are poured together; bounds its memory (8 KB a window at most).
-OPEN_WINDOWS = 4096
 #: Below this code point the two tokenizer libraries' character classes agree.
 COMMON = "ɐ"
 
 
 class ByteBpe:
-    """Ids of texts by the ``tokenizers`` vocabulary.
+    """Ids of texts by the ``tokenizers`` vocabulary, without the special tokens that it would put around a text.
 
     Texts of common characters go through the same vocabulary's rank table, which gives equal ids
-    four times as fast; for other characters the libraries' character classes may differ.
+    four times as fast; for other characters the libraries' character classes may differ.  Texts in which an
+    added token is spelled out have its id there, as the library has it, and go through the library.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -49,13 +48,13 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        plain = text.isascii() or max(text) < COMMON
+        plain = (text.isascii() or max(text) < COMMON) and not any(t in text for t in self.added)
         ids = self.fast.encode_ordinary(text) if plain else self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
@@ -66,13 +65,12 @@ def tokenizer(vocabulary: str, ranks: str) -> ByteBpe:
 
 
 class Packer:
-    """Windows of ``size`` tokens; ``put`` and ``pour`` return finished windows as lists of (document, start, ids)."""
+    """Windows of ``size`` tokens; ``put`` and ``close`` return finished windows as lists of (document, start, ids)."""
 
     def __init__(self, size: int):
         self.size = size
         self.count = np.zeros(size + 1, np.int64)
         self.at: list[list[list]] = [[] for _ in range(size)]
-        self.open = 0
 
     def level_for(self, n: int) -> int:
         """The level (0: a new window) whose growth by ``n`` least raises the sum of squares; of equals, the fullest."""
@@ -95,34 +93,52 @@ class Packer:
         window = self.at[level].pop() if level else []
         if level:
             self.count[level] -= 1
-        self.open += not level
         window.append((document, start, ids))
         if level + n == self.size:
-            self.open -= 1
             return [window]
         self.at[level + n].append(window)
         self.count[level + n] += 1
         return []
 
-    def pour(self) -> list[list]:
-        """Close all open windows: full ones, then powers of two."""
-        left = [piece for level in reversed(self.at) for window in level for piece in window]
-        total = sum(len(ids) // 4 for _, _, ids in left)
-        sizes = [self.size] * (total // self.size) + [1 << b for b in range(self.size.bit_length(), -1, -1) if total % self.size >> b & 1]
+    def close(self) -> list[list]:
+        """Empty the level array: fill each window from the highest level down with what lies on the lowest; the last one is cut at powers of two."""
+        left = [(level, window) for level in range(self.size - 1, 0, -1) for window in self.at[level]]
         self.__init__(self.size)
-        windows, at = [], 0
-        for size in sizes:
-            window, room = [], size
+        done, low, high = [], 0, len(left) - 1
+        while low < high:
+            level, window = left[low]
+            room = self.size - level
+            while room and low < high:
+                below, donor = left[high]
+                document, start, ids = donor.pop()
+                taken = min(room, len(ids) // 4)
+                window.append((document, start, ids[: 4 * taken]))
+                if 4 * taken < len(ids):
+                    donor.append((document, start + taken, ids[4 * taken :]))
+                room -= taken
+                left[high] = (below - taken, donor)
+                if not donor:
+                    high -= 1
+            if room:
+                left[low] = (self.size - room, window)
+            else:
+                done.append(window)
+                low += 1
+        return done + (self._powers(left[low][1]) if low == high else [])
+
+    def _powers(self, pieces: list) -> list[list]:
+        """The pieces of one window as windows whose lengths are falling powers of two."""
+        pieces, total = pieces[::-1], sum(len(ids) // 4 for *_, ids in pieces)
+        windows = []
+        for room in (1 << b for b in range(self.size.bit_length(), -1, -1) if total >> b & 1):
+            window = []
             while room:
-                document, start, ids = left[at]
-                n = len(ids) // 4
-                if n <= room:
-                    window.append((document, start, ids))
-                    at += 1
-                else:
-                    window.append((document, start, ids[: 4 * room]))
-                    left[at] = (document, start + room, ids[4 * room :])
-                room -= min(n, room)
+                document, start, ids = pieces.pop()
+                taken = min(room, len(ids) // 4)
+                window.append((document, start, ids[: 4 * taken]))
+                if 4 * taken < len(ids):
+                    pieces.append((document, start + taken, ids[4 * taken :]))
+                room -= taken
             windows.append(window)
         return windows
 
@@ -169,11 +185,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                 whole = (doc, len(ids) // 4)
                 for at in range(0, len(ids), 4 * window):
                     done += packer.put(whole, at // 4, ids[at : at + 4 * window])
-                if packer.open >= OPEN_WINDOWS:
-                    done += packer.pour()
             yield made(rows(done))
         if id_type is not None:
-            yield made(rows(packer.pour()))
+            yield made(rows(packer.close()))
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -41,11 +41,11 @@ def test_digests_of_every_row(spark, docs, empty):
 
 def test_byte_ids_equal_the_tokenizer():
     whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    whole.encode_special_tokens = True
     own = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
     rnd = random.Random(5)
-    for _ in range(400):
-        text = "".join(rnd.choice([*"ab é'st \n\t01²½ـ我.", "<|endoftext|>", "'ll"]) for _ in range(rnd.randint(0, 50)))
+    assert own.added and np.frombuffer(own.encode(own.added[0] + " hi"), "<u4").tolist() == whole.encode(own.added[0] + " hi", add_special_tokens=False).ids
+    for _ in range(600):
+        text = "".join(rnd.choice([*"ab é'st \n\t01²½ـ我.", *own.added, "<|endof", "text|>", "'ll"]) for _ in range(rnd.randint(0, 50)))
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
@@ -69,6 +69,29 @@ def test_level_choice_is_the_best():
         packer.put("d", 0, b"\0\0\0\0" * n)
 
 
+def test_closing_the_level_array_fills_windows_exactly():
+    """All but the last window's powers of two are full, every token stays, and most placed windows stay as they were placed."""
+    rnd = random.Random(9)
+    for count in (0, 1, 2, 3, 40, 500):
+        packer, done, put = packing.Packer(64), [], {}
+        for d in range(count):
+            ids = np.arange(rnd.randint(1, 63), dtype="<u4") + 100 * d
+            put[d] = ids.tolist()
+            done += packer.put(d, 0, ids.tobytes())
+        open_ = [[p[0] for p in w] for level in packer.at for w in level]
+        closed = packer.close()
+        sizes = [sum(len(ids) // 4 for *_, ids in w) for w in done + closed]
+        assert all(s == 64 or s & (s - 1) == 0 for s in sizes) and len([s for s in sizes if s < 64]) <= 6
+        found = {}
+        for d, start, ids in sorted((p for w in done + closed for p in w), key=lambda p: p[:2]):
+            assert start == len(found.setdefault(d, []))
+            found[d] += np.frombuffer(ids, "<u4").tolist()
+        assert found == put and packer.count.sum() == 0 and packer.close() == []
+        if count == 500:
+            kept = sum(any(w == [p[0] for p in c][: len(w)] for c in closed) for w in open_)
+            assert kept > len(open_) / 2
+
+
 def test_pieces_hold_every_id_once(spark, docs, empty):
     own = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
     pieces = packing.pack(docs, window=64).collect()
