@@ -3,7 +3,8 @@
 Each language has probabilities of the pieces of a fixed public vocabulary.  The probability of a
 word is the sum over all its segmentations into pieces of their product, which a forward
 pass over the word's positions gives; that of a text is the product over its words.  Probabilities are
-fitted by expectation-maximisation: forward and backward sums give each piece's expected count.
+fitted by expectation-maximisation: forward and backward sums give each piece's expected count.  Sums are rescaled along the way,
+so that words may have any length.
 
 All passes work on the distinct words of a batch at once: a trie of the vocabulary, held in
 arrays, finds the pieces at every position, and one array step a position adds their sums up.
@@ -25,29 +26,26 @@ from causeway.llm.common import IntMap, filter_batches, fold_of, kept, map_batch
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Labelled documents a language is fitted on (expected number; chosen by a hash of the id).
-TRAIN_DOCS = 300
+#: What a language is fitted on: expected number of documents and of their bytes (chosen by a hash of the id), and languages at most
+#: (the most frequent ones).
+TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 300, 2 << 20, 256
 #: Rounds of expectation-maximisation.
 ROUNDS = 4
-#: Longer words are taken as several of this length, so that sums stay in a double's range.
-WORD_CHARS = 24
+#: Positions after which sums are rescaled.
+RESCALE = 8
 SMOOTHING, UNKNOWN = 0.01, 1e-7
-#: Words whose scores a Python worker keeps; emptied when full.
-CACHE_WORDS = 150_000
-#: Words whose lattices are built at once.
-LATTICE_WORDS = 5_000
+#: Words, and characters of words, whose scores a Python worker keeps; emptied when full.
+CACHE_WORDS, CACHE_CHARS = 150_000, 3_000_000
+#: Characters of the words whose lattices are built at once (one word at least).
+LATTICE_CHARS = 40_000
 FOLDS, HELD_OUT = 4, 2
 _RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, long ones cut; none if there is no letter."""
+    """Lower-cased runs of letters, whole; none if there is no letter."""
     runs = _RUN.findall((text or "").lower())
-    if not any(any(map(str.isalpha, r)) for r in runs):
-        return []
-    if max(map(len, runs)) > WORD_CHARS:
-        runs = [r[a : a + WORD_CHARS] for r in runs for a in range(0, len(r), WORD_CHARS)]
-    return runs
+    return runs if any(any(map(str.isalpha, r)) for r in runs) else []
 
 
 class Pieces:
@@ -112,10 +110,16 @@ class Pieces:
         return node[at], node[at] + k, piece, end, first
 
 
-def _sums(n_nodes: int, starts: np.ndarray, a: np.ndarray, b: np.ndarray, piece: np.ndarray, bounds: np.ndarray, p: np.ndarray, ascending: bool) -> np.ndarray:
-    """Per node and language, the sum over paths from a word's start (``starts``), taking edges a to b by position."""
-    total = np.zeros((n_nodes, p.shape[1]))
-    total[starts] = 1.0
+def _sums(first: np.ndarray, depth: int, a: np.ndarray, b: np.ndarray, piece: np.ndarray, bounds: np.ndarray, p: np.ndarray, ascending: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per node and language, the sum over paths from a word's start (or to its end), as a number and the log of its scale.
+
+    ``bounds`` has the edges of each position; edges go from a to b.  Every few positions a word's latest nodes are scaled so
+    that the last one has sum 1.  Edges reach back ``depth`` nodes at most, so those share one scale whenever an edge is followed.
+    """
+    n_nodes, length = int(first[-1]), np.diff(first) - 1
+    total, scale = np.zeros((n_nodes, p.shape[1])), np.zeros((n_nodes, p.shape[1]))
+    total[first[:-1] if ascending else first[1:] - 1] = 1.0
+    step = 1 if ascending else -1
     steps = range(len(bounds) - 1)
     for s in steps if ascending else reversed(steps):
         x, y = bounds[s], bounds[s + 1]
@@ -124,8 +128,22 @@ def _sums(n_nodes: int, starts: np.ndarray, a: np.ndarray, b: np.ndarray, piece:
             order = np.argsort(b[x:y], kind="stable")
             target = b[x:y][order]
             heads = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-            total[target[heads]] += np.add.reduceat(value[order], heads, axis=0)
-    return total
+            own = target[heads]
+            total[own] += np.add.reduceat(value[order], heads, axis=0)
+            scale[own] = scale[own - step]
+        if s % RESCALE == RESCALE - 1:
+            place = s + 1 if ascending else s
+            open_ = np.flatnonzero(length > place)
+            now = first[open_] + place
+            factor = total[now]
+            for k in range(depth):
+                here = (place >= k) & (place <= length[open_]) if ascending else place + k <= length[open_]
+                if not here.any():
+                    break
+                at, part = (now - step * k)[here], factor[here]
+                total[at] /= part
+                scale[at] += np.log(part)
+    return total, scale
 
 
 @dataclass
@@ -145,8 +163,38 @@ def score_words(p: np.ndarray, vocabulary: Pieces, words: list[str]) -> np.ndarr
         return np.zeros((0, p.shape[1]))
     a, b, piece, end, first = vocabulary.lattice(words)
     bounds = np.searchsorted(end, np.arange(1, int(end[-1]) + 2))
-    total = _sums(int(first[-1]), first[:-1], a, b, piece, bounds, p, True)
-    return np.log(np.maximum(total[first[1:] - 1], 1e-300))
+    total, scale = _sums(first, vocabulary.depth, a, b, piece, bounds, p, True)
+    return np.log(total[first[1:] - 1]) + scale[first[1:] - 1]
+
+
+def _parts(words: list[str]) -> list[list[str]]:
+    """The words in parts of about ``LATTICE_CHARS`` characters, short words together so that passes end together."""
+    words = sorted(words, key=len)
+    parts: list[list[str]] = [[]]
+    chars = 0
+    for w in words:
+        if chars + len(w) > LATTICE_CHARS and parts[-1]:
+            parts.append([])
+            chars = 0
+        parts[-1].append(w)
+        chars += len(w) + 2
+    return parts
+
+
+def expected_counts(p: np.ndarray, vocabulary: Pieces, words: list[str], times: np.ndarray) -> np.ndarray:
+    """How often each piece is used, over all segmentations of the words by their probability; ``p`` is one language's."""
+    a, b, piece, end, first = vocabulary.lattice(words)
+    word = np.searchsorted(first, a, side="right") - 1
+    start = a - first[word]
+    forward_bounds = np.searchsorted(end, np.arange(1, int(end[-1]) + 2))
+    back = np.argsort(start, kind="stable")
+    back_bounds = np.searchsorted(start[back], np.arange(0, int(start.max()) + 2))
+    ahead, up = _sums(first, vocabulary.depth, a, b, piece, forward_bounds, p, True)
+    behind, down = _sums(first, vocabulary.depth, b[back], a[back], piece[back], back_bounds, p, False)
+    last = first[1:] - 1
+    whole, over = ahead[last, 0], up[last, 0]
+    share = ahead[a, 0] * p[piece, 0] * behind[b, 0] / whole[word] * np.exp(np.minimum(up[a, 0] + down[b, 0] - over[word], 600.0))
+    return np.bincount(piece, times[word] * share, minlength=vocabulary.size + 1)
 
 
 def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = ROUNDS) -> Model:
@@ -155,44 +203,33 @@ def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = ROUNDS) -> M
     languages = sorted(counts)
     columns = []
     for language in languages:
-        words = sorted(counts[language])
-        if not words:
-            columns.append(np.full(vocabulary.size + 1, 1.0 / vocabulary.size))
-            continue
-        times = np.array([counts[language][w] for w in words], float)
-        a, b, piece, end, first = vocabulary.lattice(words)
-        word = np.searchsorted(first, a, side="right") - 1
-        start = a - first[word]
-        forward_bounds = np.searchsorted(end, np.arange(1, int(end[-1]) + 2))
-        back = np.argsort(start, kind="stable")
-        back_bounds = np.searchsorted(start[back], np.arange(0, int(start.max()) + 2))
         p = np.full((vocabulary.size + 1, 1), 1.0 / vocabulary.size)
-        for _ in range(rounds):
-            ahead = _sums(int(first[-1]), first[:-1], a, b, piece, forward_bounds, p, True)
-            behind = _sums(int(first[-1]), first[1:] - 1, b[back], a[back], piece[back], back_bounds, p, False)
-            whole = ahead[first[1:] - 1, 0]
-            expected = times[word] * ahead[a, 0] * p[piece, 0] * behind[b, 0] / np.maximum(whole[word], 1e-300)
-            mass = np.bincount(piece, expected, minlength=vocabulary.size + 1) + SMOOTHING
+        parts = [(x, np.array([counts[language][w] for w in x], float)) for x in _parts(sorted(counts[language])) if x]
+        for _ in range(rounds if parts else 0):
+            mass = sum(expected_counts(p, vocabulary, x, times) for x, times in parts) + SMOOTHING
             p = (mass / mass.sum())[:, None]
         p[-1] = UNKNOWN
         columns.append(p[:, 0])
     return Model(languages, np.stack(columns, axis=1) if columns else np.zeros((vocabulary.size + 1, 0)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, path: str | None = None) -> Model:
-    """Fit on about ``per_language`` labelled documents of each language that aren't held out.
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, language_bytes: int = TRAIN_BYTES, most: int = LANGUAGES, path: str | None = None
+) -> Model:
+    """Fit on labelled documents that aren't held out: of each of the ``most`` most frequent languages about ``per_language``, or fewer of ``language_bytes`` together.
 
-    Languages are counted over all rows; Spark counts the sample's words, so that the driver gets
-    word counts of a bounded number of documents.
+    Texts over an eighth of ``language_bytes`` are passed over.  Languages are counted over all rows; Spark counts the sample's
+    words, so that the driver gets word counts of a bounded amount of text.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.where(fold_of(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    usable = rows.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
+    usable = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= language_bytes // 8))
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not found:
         return Model([], np.zeros((pieces(path).size + 1, 0)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
-    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    sizes = {r["lang"]: min(per_language / r["n"], language_bytes / max(1, r["bytes"])) for r in found}
+    share = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
 
     def work(batch: pa.RecordBatch) -> dict:
         both = [(lang, w) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in words_of(text)]
@@ -252,24 +289,22 @@ class _Scorer:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.chars = 0
         self.logs = np.zeros((1024, len(self.model.languages)))
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probabilities of each text under every language; None for one without letters.  New words are scored together."""
         cut = [words_of(t) for t in texts]
-        row = self.row
-        fresh = list({w for words in cut for w in words if w not in row})
-        if len(row) + len(fresh) > CACHE_WORDS:
+        if len(self.row) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
-            row, fresh = self.row, list({w for words in cut for w in words})
-        n = len(row)
-        if fresh:
-            while n + len(fresh) > len(self.logs):
+        row = self.row
+        for part in _parts(list({w for words in cut for w in words if w not in row})):
+            n = len(row)
+            while n + len(part) > len(self.logs):
                 self.logs = np.concatenate((self.logs, np.zeros_like(self.logs)))
-            for at in range(0, len(fresh), LATTICE_WORDS):
-                part = fresh[at : at + LATTICE_WORDS]
-                self.logs[n + at : n + at + len(part)] = score_words(self.model.probability, self.pieces, part)
-            row.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+            self.logs[n : n + len(part)] = score_words(self.model.probability, self.pieces, part)
+            row.update(zip(part, range(n, n + len(part)), strict=True))
+            self.chars += sum(map(len, part))
         return [self.logs[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(0) if words else None for words in cut]
 
 

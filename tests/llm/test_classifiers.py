@@ -149,6 +149,42 @@ def test_forward_sum_equals_all_segmentations():
     assert np.allclose(langid.score_words(p, pieces, words), [np.log(total(langid.MARK + w)) for w in words])
 
 
+def test_sums_of_words_of_any_length_equal_log_space():
+    """Words of 25 to 5,000 letters against a plain forward pass in logarithms, and expected counts against brute force."""
+    from public_tokenizers import path
+
+    pieces = langid.pieces(path(langid.VOCABULARY))
+    rnd = np.random.default_rng(3)
+    p = rnd.random((pieces.size + 1, 3)) ** 4 / 1000 + 1e-9
+    number = {n: i for i, n in enumerate(pieces.names)}
+
+    def log_sum(word):
+        text = langid.MARK + word
+        ahead = np.full((len(text) + 1, 3), -np.inf)
+        ahead[0] = 0.0
+        for end in range(1, len(text) + 1):
+            for k in range(1, min(end, pieces.depth) + 1):
+                x = number.get(text[end - k : end], len(pieces.names) if k == 1 else None)
+                if x is not None:
+                    ahead[end] = np.logaddexp(ahead[end], ahead[end - k] + np.log(p[x]))
+        return ahead[-1]
+
+    words = ["donaudampfschifffahrtsgesellschaftskapitaen", "a", "x" * 5000, "the" * 700, "日本語" * 300]
+    words += ["".join(rnd.choice(list("etaoinshrdlu"), n)) for n in (25, 26, 31, 32, 33, 64, 100, 1000, 5000)]
+    assert np.allclose(langid.score_words(p, pieces, words), [log_sum(w) for w in words], rtol=1e-9)
+    one, h = p[:, :1], 1e-5
+    short = ["therein", "straße"] + ["".join(rnd.choice(list("etaoin"), n)) for n in (9, 40, 120)]
+    times = np.arange(1.0, len(short) + 1)
+    got = langid.expected_counts(one, pieces, short, times)
+    value = lambda q: float(times @ langid.score_words(q, pieces, short)[:, 0])
+    for x in np.argsort(-got)[:12]:
+        more, less = one.copy(), one.copy()
+        more[x] *= 1 + h
+        less[x] *= 1 - h
+        assert abs((value(more) - value(less)) / (2 * h) - got[x]) < 1e-4 * max(1.0, got[x])
+    assert langid.words_of("x" * 99 + " y") == ["x" * 99, "y"]
+
+
 def test_language_of_odd_rows(spark, docs, empty):
     rows = langid.identify(docs).collect()
     und = {r["doc_id"] for r in rows if r["lang_pred"] == "und"}
