@@ -71,6 +71,33 @@ def salted_lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Co
     return dealt.join(each, [*keys, "_salt"], how)
 
 
+#: Words of 64 bits in a membership filter: 8 MB, whatever it is made from.  A filter of very many members lets everything through.
+FILTER_WORDS = 1 << 20
+
+
+def member_words(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each of the hashes in ``column``, by its low bits; grouped by Spark, at most ``FILTER_WORDS`` rows reach the driver."""
+    k = F.col(column)
+    found = keys.groupBy(F.shiftright(k, 6).bitwiseAND(FILTER_WORDS - 1).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def members(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter has each hash's bit."""
+    own = hashes.view(np.uint64)
+    return (words[((own >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (own & np.uint64(63))) & np.uint64(1) == 1
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 class IntMap:
     """A map of non-negative integers to integers in two arrays, looked up many keys at a time (open addressing)."""
 

@@ -1,18 +1,24 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
-A fingerprint of 64 bits is cut into three segments, each padded to the 23 bits of the perfect
-Golay code.  Every word lies within three bits of exactly one codeword.  Two words that differ in one bit at most share the
-nearest codeword of either and one of the codewords nearest to the other or to it with one bit flipped (one or six
-of them).  Of three differing bits, two of the three segments hold one at most each; so a fingerprint is filed
-under the nearest codewords of each two segments, and asked for under all nearby codewords
-of them.  What meets is verified by its differing bits, and linked fingerprints are joined into components.
-
+A fingerprint of 64 bits is cut into four segments, each padded to the 23 bits of the perfect
+Golay code.  Every word lies within three bits of exactly one codeword.  Of two words that differ in one bit one has odd
+parity, and the codeword nearest to the other is nearest to it too, or to it with one bit flipped; so an even segment has the index of one
+codeword and an odd one those of several.  Of three differing bits, three segments hold one each at most and two in
+all, so a fingerprint is filed under triples of indices (36 bits) with two flipped segments at most: about 86 keys.  What meets under a key is
+verified by its differing bits, and linked fingerprints are joined into components.
+
+Keys are counted first, so only shared ones are looked at again.  Under a key every fingerprint is held against the smallest and
+the largest, and then only fingerprints that are not yet in one component against each other, so that a dense group isn't paired with itself.
 Equal fingerprints are one row from the start, so that groups of copies cost nothing.
+
+:func:`keep_one` serves shingle similarity, whose pairs differ in more bits than Golay keys can bridge (at a similarity of 0.8 about
+ten of 64): keys of a second kind, minima of shingle hashes, find those, and all links are verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -23,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from causeway.llm.common import batched, map_batches, salted_lookup
+from causeway.llm.common import batched, free_name, map_batches, member_words, members, salted_lookup
 from causeway.plans.components import connected_components
 from causeway.plans.durable import written
 
@@ -33,8 +39,14 @@ DISTANCE = 3
 #: Generator polynomial of the binary Golay code of length 23 (fixed value), and the code's sizes.
 GENERATOR = 0b101011100011
 LENGTH, CHECKS = 23, 11
-#: Bits of the segments, from the lowest.
-SEGMENTS = (22, 21, 21)
+#: Bits of a segment, and how many there are.
+SEGMENT, SEGMENTS = 16, 4
+#: Similarity of shingle sets, and the shingles' words, from which :func:`keep_one` links.
+WORDS, SIMILARITY = 5, 0.8
+#: Minima in one key of the second kind; their number follows from the share of similar pairs that may be missed.
+ROWS, MISSED = 6, 5e-6
+#: Words of 64 bits in a wide fingerprint, and sets too small to be judged by one.
+WIDE, SMALL_SET = 16, 9
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -93,31 +105,33 @@ def nearest(word: np.ndarray) -> np.ndarray:
     return (word ^ leader[low[word & 4095] ^ high[word >> 12]]) >> CHECKS
 
 
-def nearby(word: np.ndarray, bits: int) -> np.ndarray:
-    """For each word, the codeword indices nearest to it or to it with one of ``bits`` bits flipped; repeats are -1."""
-    flips = np.concatenate(([0], 1 << np.arange(bits, dtype=np.int64)))
-    found = np.sort(nearest(word[:, None] ^ flips[None, :]), axis=1)
+def codewords(word: np.ndarray, bits: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the index of the nearest codeword, and for odd words the other indices one flipped bit away (-1 fills up)."""
+    base = nearest(word)
+    found = np.sort(nearest(word[:, None] ^ (1 << np.arange(bits, dtype=np.int64))[None, :]), axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
-    width = int((found >= 0).sum(1).max(initial=1))
-    return -np.sort(-found, axis=1)[:, :width]
-
-
-def segments(prints: np.ndarray) -> list[np.ndarray]:
-    firsts = [0, *accumulate(SEGMENTS)]
-    return [((prints >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in zip(firsts, SEGMENTS, strict=False)]
+    found[(found == base[:, None]) | (np.bitwise_count(word) % 2 == 0)[:, None]] = -1
+    return base, -np.sort(-found, axis=1)[:, : int((found >= 0).sum(1).max(initial=0))]
 
 
-def _keys(prints: np.ndarray, ask: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: pair of segments, codeword index in each."""
-    parts = segments(prints)
-    found = [nearby(p, n) if ask else nearest(p)[:, None] for p, n in zip(parts, SEGMENTS, strict=True)]
+def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys: three segments and a codeword index in each, all but one of them the nearest at least."""
+    parts = [codewords(((prints >> np.uint64(SEGMENT * i)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)) for i in range(SEGMENTS)]
+    every = np.arange(len(prints))
     rows, keys = [], []
-    for pair, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        a, b = found[i][:, :, None], found[j][:, None, :]
-        whole = np.where((a >= 0) & (b >= 0), (pair << 24) | (a << 12) | b, -1).reshape(len(prints), -1)
-        at, _ = np.nonzero(whole >= 0)
-        rows.append(at)
-        keys.append(whole[whole >= 0])
+    for number, triple in enumerate(combinations(range(SEGMENTS), 3)):
+        for flipped in [(), *combinations(range(3), 1), *combinations(range(3), 2)]:
+            at, key = every, np.full(len(prints), number, np.int64)
+            for k, segment in enumerate(triple):
+                base, others = parts[segment]
+                if k not in flipped:
+                    key = key << 12 | base[at]
+                    continue
+                wide = np.where(others[at] >= 0, key[:, None] << 12 | others[at], -1)
+                which, _ = np.nonzero(wide >= 0)
+                at, key = at[which], wide[wide >= 0]
+            rows.append(at)
+            keys.append(key)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -132,22 +146,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, print bigint")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """``(a, b)``: the pairs of distinct fingerprints in column ``print`` that differ in three bits at most, each once."""
+def _ends(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    def rows(ask: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(0).to_numpy().view(np.uint64)
-                for at in range(0, len(own), 2000):
-                    part = own[at : at + 2000]
-                    row, key = _keys(part, ask)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "a" if ask else "b"])
 
-        return prints.select("print").mapInArrow(run, f"key bigint, {'a' if ask else 'b'} bigint")
+def _shared(filed: DataFrame, who: str) -> DataFrame:
+    """``(key, who, low, high)`` of the keys that several have; counting is combined before the shuffle, and Spark splits a hot key's join."""
+    several = filed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high")
+    return filed.join(several, "key")
+
 
-    meet = rows(True).join(rows(False), "key").where(F.col("a") < F.col("b"))
-    return meet.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b").distinct()
+def _to_leaders(shared: DataFrame, who: str) -> DataFrame:
+    """``(a, b)``: everyone under a key with the smallest and the largest there."""
+    both = shared.select(who, F.explode(F.array("low", "high")).alias("leader")).where(F.col(who) != F.col("leader"))
+    return both.select(*_ends(F.col(who), F.col("leader")))
+
+
+def _apart(shared: DataFrame, found: DataFrame, who: str) -> DataFrame:
+    """``(key, who, component)`` under keys where more than one component meets, by the links found so far."""
+    labels = connected_components(found).withColumnRenamed("node", who)
+    named = shared.select("key", who).join(labels, who, "left").withColumn("component", F.coalesce("component", who))
+    several = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    return named.join(several, "key", "left_semi")
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of distinct fingerprints in column ``print`` that differ in three bits at most, enough of them for the components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(own), 1000):
+                part = own[at : at + 1000]
+                row, key = keys_of(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "print"])
+
+    # A small table lies in few files; its keys are many.
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = written(_shared(prints.select("print").repartition(partitions).mapInArrow(run, "key bigint, print bigint"), "print"), "shared-codewords")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    found = written(_to_leaders(shared, "print").where(close).distinct(), "links")
+    apart = written(_apart(shared, found, "print"), "apart")
+    if apart.isEmpty():
+        return found
+    x, y = (apart.select("key", F.col("print").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    return found.unionByName(written(rest, "links"))
 
 
 def _classes(marks: DataFrame) -> DataFrame:
@@ -157,37 +201,185 @@ def _classes(marks: DataFrame) -> DataFrame:
     return distinct.join(grouped, "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """``(id, print, component_id)``: each row's fingerprint and the smallest id it can reach over links.
 
     Rows without words have fingerprint zero and are linked like any other.  Repeated rows give repeated rows.
     Null ids never become a component's id unless it has no other.  An empty table gives no rows.
     """
-    marks = written(fingerprints(docs, id_col, text_col), "prints")
+    marks = written(fingerprints(docs, id_col, text_col, words), "prints")
     own = _classes(marks)
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
     named = own.join(smallest, "component").select("print", "component_id")
     return salted_lookup(marks, named, ["print"], F.col("id")).select("id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of near duplicates one row of ``docs``, that with the smallest id; all columns stay.
+def digest(text: str | None) -> int:
+    """A signed hash of the words."""
+    found = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()))
+    return found - (1 << 64) if found >> 63 else found
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; one for a text without words."""
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64))
+
+
+def resembles(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def bands(similarity: float) -> int:
+    """Keys of ``ROWS`` minima that a set needs, so that of pairs that similar a share of ``MISSED`` at most has none in common."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-(min(similarity, 1 - 1e-9) ** ROWS))))
+
+
+@functools.lru_cache(4)
+def _factors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rnd = np.random.default_rng(seed)
+    return rnd.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1), rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray, factor: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Other hashes of hashes, a row for each factor."""
+    v = x[None, :] * factor[:, None]
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0x9E3779B97F4A7C15)
+    return v ^ other[:, None]
 
-    Of repeated rows with that id one stays; a null id counts as the largest.
-    """
-    marks = written(fingerprints(docs, id_col, text_col), "prints")
-    rank = F.struct(F.col("least").isNull(), "least", "print")
-    chosen = _classes(marks).groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.least").alias("_kept_id"), F.col("m.print").alias("_kept_print"))
-    kind = docs.schema
+
+def band_keys(own: np.ndarray, number: int) -> np.ndarray:
+    """The set's keys: hashes of ``ROWS`` minima each."""
+    factor, other = _factors(ROWS * number, 17)
+    least = np.full(ROWS * number, ~np.uint64(0))
+    for at in range(0, len(own), 512):
+        np.minimum(least, _mixed(own[at : at + 512], factor, other).min(1), out=least)
+    least = least.reshape(number, ROWS)
+    key = np.arange(number, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """A fingerprint of ``64 * WIDE`` bits of a set of hashes."""
+    factor, other = _factors(WIDE, 23)
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(own), 512):
+        counts += np.unpackbits(np.ascontiguousarray(_mixed(own[at : at + 512], factor, other).T).view(np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(own)).view(np.int64)
+
+
+def wide_limit(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets that similar differ at most, but for one pair in a million."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE
+    return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs of digests ``(a, b)`` whose shingle sets are similar."""
+    left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = functools.lru_cache(64)(lambda text: shingles(text, words))
+        for batch in batched(100, batches):
+            met = [resembles(cut(x), cut(y), similarity) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(met, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``(digest, text)`` of the digests in ``wanted``; most other rows are left out before the shuffle."""
+    words = docs.sparkSession.sparkContext.broadcast(member_words(wanted, "digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(500, batches):
-            prints = np.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], np.uint64)
-            yield batch.append_column("_own_print", pa.array(prints.view(np.int64)))
+            own = np.array([digest(t) for t in batch.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0)], names=["digest", "text"]).filter(pa.array(members(words.value, own)))
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest bigint, text string")
+    return found.groupBy("digest").agg(F.first("text", ignorenulls=True).alias("text")).join(wanted, "digest", "left_semi")
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs of digests in ``texts`` (digest, print, keys) whose shingle sets are similar, enough of them for the components.
+
+    Candidates: fingerprints three bits apart by Golay keys, equal fingerprints, and sets that share a key of minima.
+    """
+    leaders = texts.groupBy("print").agg(F.min("digest").alias("leader"))
+    near = links(leaders).join(leaders.withColumnsRenamed({"print": "a", "leader": "da"}), "a").join(leaders.withColumnsRenamed({"print": "b", "leader": "db"}), "b")
+    same = salted_lookup(texts.select("digest", "print"), leaders, ["print"], F.col("digest")).where("digest <> leader")
+    shared = written(_shared(texts.select("digest", F.explode("keys").alias("key")), "digest"), "shared-minima")
+    tried = near.select(*_ends(F.col("da"), F.col("db"))).unionByName(same.select(*_ends(F.col("digest"), F.col("leader")))).unionByName(_to_leaders(shared, "digest"))
+    tried = written(tried.distinct(), "pairs")
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    own = written(_texts_of(docs, text_col, wanted), "near-texts")
+    found = written(_similar(tried, own, words, similarity), "links")
+    apart = written(_apart(shared, found, "digest"), "apart")
+    if apart.isEmpty():
+        return found
+
+    def work(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        wide = pa.array([wide_fingerprint(s) for s in sets], pa.list_(pa.int64()))
+        return {"digest": batch.column(0), "size": pa.array([len(s) for s in sets], pa.int32()), "wide": wide}
+
+    told = map_batches(own.join(apart.select("digest").distinct(), "digest", "left_semi").select("digest", "text"), work, "digest bigint, size int, wide array<bigint>", 200)
+    known = written(apart.join(written(told, "wide-prints"), "digest"), "apart")
+    x, y = (known.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("digest", "component", "size", "wide"))) for n in "xy")
+    bits = sum((F.bit_count(F.col("wide_x")[i].bitwiseXOR(F.col("wide_y")[i])) for i in range(WIDE)), F.lit(0))
+    small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
+    fits = (small >= similarity * large - 1e-9) & ((small < SMALL_SET) | (bits <= wide_limit(similarity)))
+    met = x.join(y, (x.key == y.key) & (F.col("digest_x") < F.col("digest_y")) & (F.col("component_x") != F.col("component_y")) & fits)
+    others = met.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(written(_similar(written(others, "pairs"), own, words, similarity), "links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each component of texts with a shingle similarity of ``similarity`` or more one row of ``docs``, that with the smallest id.
+
+    All columns stay.  Of repeated rows with that id one stays; a null id counts as the largest.  Texts without words are alike.
+    Rows whose text nobody shares or resembles are told by a filter of fixed size and take part in no shuffle.
+    """
+    number = bands(similarity)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).to_pylist()
+        keys = pa.array([band_keys(shingles(t, words), number) for t in texts], pa.list_(pa.int64()))
+        prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+        return {"id": batch.column(0), "digest": np.array([digest(t) for t in texts], np.int64), "print": prints, "keys": keys}
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = map_batches(rows, work, f"id {docs.schema[id_col].dataType.simpleString()}, digest bigint, print bigint, keys array<bigint>", 200)
+    own = F.struct("print", "keys")
+    texts = marks.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first(own).alias("own"))
+    texts = written(texts.select("digest", "least", "n", "own.print", "own.keys"), "distinct-texts")
+    labels = connected_components(similar_links(docs, texts.select("digest", "print", "keys"), text_col, words, similarity)).withColumnRenamed("node", "digest")
+    classes = texts.select("digest", "least", "n").join(labels, "digest", "left").withColumn("linked", F.col("component").isNotNull())
+    rank = F.struct(F.col("least").isNull(), "least", "digest")
+    chosen = classes.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min(rank).alias("m"), F.max("linked").alias("linked"), F.max("n").alias("n"))
+    touched = written(classes.where("linked or n > 1").select("digest"), "touched")
+    kept = written(chosen.where("linked or n > 1").select(F.col("m.least").alias("kept_id"), F.col("m.digest").alias("kept_digest")), "kept")
+
+    name = free_name(docs, "digest")
+    words_sent = docs.sparkSession.sparkContext.broadcast(member_words(touched, "digest"))
+
+    def marked(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batched(500, batches):
+                found = np.array([digest(t) for t in batch.column(text_col).to_pylist()], np.int64)
+                yield batch.append_column(name, pa.array(found)).filter(pa.array(members(words_sent.value, found) == inside))
+
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
-    rows = docs.mapInArrow(run, StructType([*kind.fields, StructField("_own_print", LongType())]))
-    met = rows.join(chosen, (F.col("_own_print") == F.col("_kept_print")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return met.dropDuplicates([id_col, "_own_print"]).select(*docs.columns)
+    met = marked(True)
+    copies = met.join(kept, (met[name] == kept.kept_digest) & met[id_col].eqNullSafe(kept.kept_id), "left_semi").dropDuplicates([id_col, name])
+    # The filter lets some through that nobody touched.
+    alone = met.join(touched.withColumnRenamed("digest", free_name(docs, "touched")), met[name] == F.col(free_name(docs, "touched")), "left_anti")
+    return marked(False).unionByName(copies).unionByName(alone).select(*docs.columns)
 
 
 def hexed(column: str) -> Column:

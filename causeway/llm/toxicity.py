@@ -41,7 +41,7 @@ LEAST_WINDOWS = 40
 #: The trainer's unit in bytes, for each of the pairs that a half gives.
 UNITS = (8, 8, 6)
 #: Bytes of a scored window, of its step to the next, and the first pair's distance from which the others are asked.
-WINDOW, STEP, GATE = 36, 20, 2
+WINDOW, STEP, GATE = 40, 24, 2
 #: Quantiles of ordinary windows' distances that become the thresholds.
 THRESHOLDS = (0.97, 0.99, 0.997, 0.999, 0.9997)
 #: What ends the header of a trained dictionary (fixed value of its format); its content follows.

@@ -2,7 +2,7 @@
 
 import random
 
-from causeway.llm import resemblance
+from causeway.llm import simhash
 from causeway.llm.common import table
 
 
@@ -45,10 +45,9 @@ def near_copies():
     return rows
 
 
-def test_near_duplicate_stage_keeps_what_brute_force_keeps(spark, data, docs, empty, monkeypatch):
+def test_near_duplicate_stage_keeps_what_brute_force_keeps(spark, data, docs, empty):
     import corpus_pipeline
 
-    monkeypatch.setattr(resemblance, "SAMPLE", 60)
     made = near_copies()
     frame = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     wanted = brute_kept(made)
@@ -57,6 +56,7 @@ def test_near_duplicate_stage_keeps_what_brute_force_keeps(spark, data, docs, em
     real = table(spark, data, "documents")
     rows = [(r["doc_id"], r["text"]) for r in real.select("doc_id", "text").collect()]
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_filter(spark, real, data).collect()} == brute_kept(rows)
-    kept = resemblance.keep_one(docs)
+    docs = docs.withColumnsRenamed({"start": "_digest", "id": "_touched"})
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("text = 'Hello, world.'").count() == 1 and kept.where("doc_id is null").count() == 1
-    assert resemblance.keep_one(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
