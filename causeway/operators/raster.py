@@ -31,12 +31,15 @@ def clip(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def rasterize(segments: DataFrame, height: int, width: int, radius: int = 3) -> DataFrame:
-    """Pixels of segments (tile, r0, c0, r1, c1), thickened by a disk: one pixel per step along the longer axis."""
+    """Pixels of segments (tile, r0, c0, r1, c1), thickened by a disk: one pixel per step along the longer axis.
+
+    A step that falls midway between two pixels takes the one nearer to the start.
+    """
     dr, dc = F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")
     n = F.greatest(F.abs(dr), F.abs(dc))
 
     def along(start: Column, d: Column) -> Column:
-        part = F.floor((2 * F.col("k") * F.abs(d) + n) / (2 * F.greatest(n, F.lit(1))))
+        part = F.floor((2 * F.col("k") * F.abs(d) + n - 1) / (2 * F.greatest(n, F.lit(1))))
         return (start + F.signum(d).cast("int") * part).cast("int")
 
     line = segments.withColumn("k", F.explode(F.sequence(F.lit(0), n))).select("tile", along(F.col("r0"), dr).alias("row"), along(F.col("c0"), dc).alias("col"))

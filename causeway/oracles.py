@@ -140,8 +140,8 @@ ORACLE_SQL: dict[str, str] = {
     "articulation_points": _with("supplier", "hub AS (SELECT u AS g FROM ways GROUP BY 1 HAVING count(*) > 1)", "alive AS (SELECT g, u, v FROM hub, ways WHERE u <> g AND v <> g)", _scenario_components("alive", "SELECT g, id FROM hub, nodes WHERE id <> g"))
     + "SELECT e.u AS id FROM ways e JOIN cc ON cc.g = e.u AND cc.id = e.v GROUP BY 1 HAVING count(DISTINCT component) > 1",
     "apsp": _with("supplier", _paths()) + "SELECT s, v, round(d, 4) AS d FROM d",
-    "sssp_hops": _with("supplier", "hops AS (SELECT u, v, 1::DOUBLE AS w FROM ways)", _paths("hops", "SELECT id FROM nodes WHERE id % 10 = 0")) + "SELECT s, v, d::BIGINT AS hops FROM d",
-    "sigma_counts": _with("supplier", "hops AS (SELECT u, v, 1::DOUBLE AS w FROM ways)", _paths("hops", "SELECT id FROM nodes WHERE id % 10 = 0"), _SIGMA.replace("JOIN ways e", "JOIN hops e")) + "SELECT s, v, n::BIGINT AS sigma FROM sigma",
+    "sssp_hops": _with("supplier", "hops AS (SELECT u, v, 1::DOUBLE AS w FROM ways)", _paths("hops")) + "SELECT s, v, d::BIGINT AS hops FROM d",
+    "sigma_counts": _with("supplier", "hops AS (SELECT u, v, 1::DOUBLE AS w FROM ways)", _paths("hops"), _SIGMA.replace("JOIN ways e", "JOIN hops e")) + "SELECT s, v, n::BIGINT AS sigma FROM sigma",
     "global_efficiency": _with("supplier", _paths()) + "SELECT round(sum(1 / d) / (max(n) * (max(n) - 1)), 9) AS efficiency FROM d, side WHERE d > 0",
     "edge_betweenness": _with("supplier", _paths(), _SIGMA) + f"SELECT e.u, e.v, round(coalesce(total, 0) / (n * (n - 1)), 8) AS betweenness FROM edges e LEFT JOIN ({_PAIRS}) p ON p.u = e.u AND p.v = e.v, side",
     "edge_betweenness_directed": _with("supplier", "one AS (SELECT u, v, w FROM arcs)", _paths("one"), _SIGMA.replace("JOIN ways e", "JOIN one e"))
@@ -162,14 +162,14 @@ ORACLE_SQL: dict[str, str] = {
     "progressive_epsilon": _with("supplier")
     + """SELECT batch, samples, round(least(1, sqrt(ln(2 * m / 1e-1) / (2 * samples))), 6) AS epsilon FROM
         (SELECT batch, sum(k) OVER (ORDER BY batch)::BIGINT AS samples FROM (SELECT event_id // 1000 AS batch, count(*) AS k FROM events GROUP BY 1)), (SELECT count(*) AS m FROM edges)""",
-    "removal_impact": _with("supplier", "longest AS (SELECT row_number() OVER (ORDER BY round(w, 4) DESC, u, v) AS g, u, v FROM edges QUALIFY g <= 5)", "groups AS (SELECT g FROM longest UNION ALL SELECT -1)",
-        "alive AS (SELECT gr.g, e.u, e.v, e.w FROM groups gr LEFT JOIN longest l USING (g), ways e WHERE l.u IS NULL OR NOT (least(e.u, e.v) = l.u AND greatest(e.u, e.v) = l.v))",
+    "removal_impact": _with("supplier", "cut_edge AS (SELECT row_number() OVER (ORDER BY u, v) AS g, u, v FROM edges)", "groups AS (SELECT g FROM cut_edge UNION ALL SELECT -1)",
+        "alive AS (SELECT gr.g, e.u, e.v, e.w FROM groups gr LEFT JOIN cut_edge l USING (g), ways e WHERE l.u IS NULL OR NOT (least(e.u, e.v) = l.u AND greatest(e.u, e.v) = l.v))",
         """d(g, s, v, d) USING KEY (g, s, v) AS (SELECT g, id, id, 0::DOUBLE FROM groups, nodes UNION (SELECT d.g, d.s, e.v, min(d.d + e.w) FROM d JOIN alive e ON e.g = d.g AND e.u = d.v
             LEFT JOIN recurring.d r ON r.g = d.g AND r.s = d.s AND r.v = e.v WHERE d.d + e.w < coalesce(r.d, 1e300) - 1e-9 GROUP BY d.g, d.s, e.v))""",
         _scenario_components("alive", "SELECT g, id FROM groups, nodes"))
     + """, eff AS (SELECT g, sum(1 / d) AS e FROM d WHERE d > 0 GROUP BY 1), part AS (SELECT g, max(k) AS lcc, sum(k * (k - 1)) AS pairs FROM (SELECT g, component, count(*) AS k FROM cc GROUP BY 1, 2) GROUP BY 1)
         SELECT l.u, l.v, round((b.e - a.e) / b.e, 6) AS relative_drop, pb.lcc AS lcc_before, pa.lcc AS lcc_after, pa.lcc < pb.lcc AS fragmented, greatest(pb.pairs - pa.pairs, 0)::BIGINT AS newly_disconnected_pairs
-        FROM longest l JOIN eff a USING (g) JOIN part pa USING (g), eff b, part pb WHERE b.g = -1 AND pb.g = -1""",
+        FROM cut_edge l JOIN eff a USING (g) JOIN part pa USING (g), eff b, part pb WHERE b.g = -1 AND pb.g = -1""",
     "spearman": """WITH r AS (SELECT rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS a, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS b FROM orders)
         SELECT round(corr(a, b), 6) AS r FROM r""",
     "pearson": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem",
@@ -179,7 +179,13 @@ ORACLE_SQL: dict[str, str] = {
     "point_in_polygon": _with("customer") + "SELECT id, " + _INSIDE.format(*map(_quad, _QUADS)) + " AS occluder FROM nodes",
     "apls": _with("supplier", _paths(), "damaged AS (SELECT * FROM ways WHERE (u + v) % 7 <> 0)", _paths("damaged", name="f"))
     + "SELECT round(avg(greatest(0, coalesce(1 - abs(f.d - d.d) / d.d, 0))), 6) AS apls FROM d LEFT JOIN f ON f.s = d.s AND f.v = d.v WHERE d.s < d.v AND d.d > 0",
-    "rasterize": _with("supplier", _raster(1, "px")) + "SELECT 't' AS tile, r::INT AS row, c::INT AS col FROM px",
+    # Lines by their error term, one step a round.
+    "rasterize": _with("supplier", _raster(0, "ignored"), """seg AS (SELECT row_number() OVER () AS i, * FROM (SELECT r0, c0, r1, c1 FROM lines UNION ALL SELECT r0, c0, r1 + c0 % 9 - 4, c1 + r1 % 7 - 3 FROM lines)),
+        step(i, r, c, r1, c1, dr, dc, e) AS (SELECT i, r0, c0, r1, c1, abs(r1 - r0), abs(c1 - c0), abs(r1 - r0) - abs(c1 - c0) FROM seg
+            UNION ALL SELECT i, CASE WHEN 2 * e > -dc THEN r + sign(r1 - r)::BIGINT ELSE r END, CASE WHEN 2 * e < dr THEN c + sign(c1 - c)::BIGINT ELSE c END, r1, c1, dr, dc,
+                e - CASE WHEN 2 * e > -dc THEN dc ELSE 0 END + CASE WHEN 2 * e < dr THEN dr ELSE 0 END FROM step WHERE r <> r1 OR c <> c1)""")
+    + """SELECT DISTINCT 't' AS tile, (r + dr)::INT AS row, (c + dc)::INT AS col FROM (SELECT r, c FROM step) p, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) o(dr, dc)
+        WHERE r + dr BETWEEN 0 AND 99999 AND c + dc BETWEEN 0 AND 99999""",
     "dilate": _with("supplier", _raster(2, "px")) + "SELECT 't' AS tile, r::INT AS row, c::INT AS col FROM px",
     "erode": _with("supplier", _raster(2, "px"))
     + "SELECT 't' AS tile, a.r::INT AS row, a.c::INT AS col FROM px a WHERE (SELECT count(*) FROM px b WHERE abs(b.r - a.r) + abs(b.c - a.c) <= 1) = 5",
@@ -187,8 +193,9 @@ ORACLE_SQL: dict[str, str] = {
     + """, moved AS (SELECT id + 1000000 AS match, x + 2e-4 AS mx, y - 1e-4 AS my FROM nodes),
         met AS (SELECT id, match, 2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians(my - y) / 2), 2) + cos(radians(y)) * cos(radians(my)) * pow(sin(radians(mx - x) / 2), 2))) AS m FROM nodes JOIN moved ON abs(my - y) < 1e-3 AND abs(mx - x) < 1e-3)
         SELECT id, match, round(m, 3) AS distance_m FROM met WHERE m <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, match DESC) = 1""",
-    "gap_candidates": _with("customer")
-    + """, stub AS (SELECT u AS id, min(v) AS o FROM ways GROUP BY 1 HAVING count(*) = 1), place AS (SELECT s.id, n.x, n.y, m.x AS ox, m.y AS oy FROM stub s JOIN nodes n ON n.id = s.id JOIN nodes m ON m.id = s.o),
+    "gap_candidates": _with("customer", """spots AS (SELECT id, x, y FROM nodes UNION ALL SELECT id + 10000000, x + 10232e-2 - CASE WHEN x + 10232e-2 >= 180 THEN 360 ELSE 0 END, y + 58 FROM nodes)""",
+        "roads AS (SELECT u, v FROM ways UNION ALL SELECT u + 10000000, v + 10000000 FROM ways)")
+    + """, stub AS (SELECT u AS id, min(v) AS o FROM roads GROUP BY 1 HAVING count(*) = 1), place AS (SELECT s.id, n.x, n.y, m.x AS ox, m.y AS oy FROM stub s JOIN spots n ON n.id = s.id JOIN spots m ON m.id = s.o),
         met AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.ox AS aox, a.oy AS aoy, b.ox AS box_, b.oy AS boy,
             2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) AS m FROM place a JOIN place b ON a.id < b.id),
         v AS (SELECT *, (ax - aox) * cos(radians(aoy)) AS p1, ay - aoy AS p2, (bx - ax) * cos(radians(ay)) AS q1, by_ - ay AS q2, (bx - box_) * cos(radians(boy)) AS r1, by_ - boy AS r2, (ax - bx) * cos(radians(by_)) AS t1, ay - by_ AS t2 FROM met WHERE m <= 320)
@@ -203,4 +210,19 @@ ORACLE_SQL: dict[str, str] = {
     "top_segments": _with("supplier", _paths(), _SIGMA) + f"SELECT e.u, e.v, round(coalesce(total, 0) / (n * (n - 1)), 8) AS betweenness FROM edges e LEFT JOIN ({_PAIRS}) p ON p.u = e.u AND p.v = e.v, side ORDER BY betweenness DESC, u, v LIMIT 5",
     "highest_ground": _with("customer") + "SELECT id, elevation, coalesce(amenity, 'none') AS amenity, row_number() OVER (PARTITION BY amenity ORDER BY elevation DESC, id) AS place FROM nodes QUALIFY place <= 3",
 }
+#: Steps of an attack on m edges: batches of m // 20 edges, one at least.
+_STEPS = """size AS (SELECT count(*) AS m, greatest(1, count(*) // 20) AS k FROM edges), gone AS (SELECT u, v, row_number() OVER (ORDER BY ('0x' || substr(md5(u || '/' || v || '/7'), 1, 15))::BIGINT, u, v) AS place FROM edges),
+    groups AS (SELECT unnest(range(((SELECT m FROM size) + (SELECT k FROM size) - 1) // (SELECT k FROM size) + 1)) AS g), alive AS (SELECT g, u, v FROM gone, groups, size WHERE place > g * k UNION ALL SELECT g, v, u FROM gone, groups, size WHERE place > g * k)"""
+ORACLE_SQL["robustness_random"] = _with("supplier", _STEPS, _scenario_components("alive", "SELECT g, id FROM groups, nodes")) + """SELECT g AS step, round(least(g * k, m)::DOUBLE / m, 6) AS fraction, round(max(n)::DOUBLE / (SELECT count(*) FROM nodes), 6) AS lcc
+    FROM (SELECT g, component, count(*) AS n FROM cc GROUP BY 1, 2), size GROUP BY g, k, m"""
+ORACLE_SQL["restoration_priority"] = (
+    _flood(f"(0, {LEVEL}::DOUBLE)")
+    + f""", own AS (SELECT id, component FROM cc WHERE g = 0), weight AS (SELECT component, count(*) AS n FROM own GROUP BY 1),
+    between AS (SELECT l.u, l.v, a.component AS cu, b.component AS cv, wa.n AS nu, wb.n AS nv FROM low l JOIN own a ON a.id = l.u JOIN own b ON b.id = l.v
+        JOIN weight wa ON wa.component = a.component JOIN weight wb ON wb.component = b.component WHERE low < {LEVEL} AND a.component <> b.component),
+    pick(k, reached, u, v, gain) AS (SELECT 0, (SELECT list(component) FROM served WHERE g = 0), 0::BIGINT, 0::BIGINT, 0::BIGINT
+        UNION ALL SELECT k + 1, list_append(reached, m.opened), -m.nu, -m.nv, m.gain FROM (SELECT k, reached, max(struct_pack(gain := CASE WHEN list_contains(reached, cu) THEN b.nv ELSE b.nu END, nu := -b.u, nv := -b.v, opened := CASE WHEN list_contains(reached, cu) THEN cv ELSE cu END)) AS m
+            FROM pick, between b WHERE k < 5 AND list_contains(reached, cu) <> list_contains(reached, cv) GROUP BY k, reached))
+    SELECT k AS rank, u, v, gain AS restores FROM pick WHERE k > 0"""
+)
 ORACLE_SQL["streamed_betweenness"] = ORACLE_SQL["sampled_betweenness"]

@@ -265,8 +265,17 @@ def point_in_polygon(spark, sf_dir):
     return repair.occluder_at(nodes.select("id", "x", "y"), _occluders(spark), "x", "y").select("id", "occluder")
 
 
+def _also_far_north(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The network and a copy of it under other ids at 71 degrees north, across the 180th meridian."""
+    x = F.pmod(F.col("x") + 102.32 + 180, F.lit(360.0)) - 180
+    moved = nodes.withColumns({"id": F.col("id") + 10_000_000, "x": x, "y": F.col("y") + 58})
+    ends = edges.withColumns({"u": F.col("u") + 10_000_000, "v": F.col("v") + 10_000_000})
+    return edges.unionByName(ends), nodes.unionByName(moved)
+
+
 def gap_candidates(spark, sf_dir):
     _, edges, nodes = _network(spark, sf_dir, "customer")
+    edges, nodes = _also_far_north(edges, nodes)
     found = repair.gap_candidates(edges, nodes, _occluders(spark))
     return found.select("a", "b", F.round("gap_m", 3).alias("gap_m"), F.round("straightness", 6).alias("straightness"))
 
@@ -309,7 +318,10 @@ _SIDE = 100_000
 
 
 def rasterize(spark, sf_dir):
-    return raster.rasterize(_pixel_rows(spark, sf_dir), _SIDE, _SIDE, 1)
+    """Streets along both axes, and beside each a slanted segment."""
+    rows = _pixel_rows(spark, sf_dir)
+    slanted = rows.withColumns({"r1": F.col("r1") + F.col("c0") % 9 - 4, "c1": F.col("c1") + F.col("r1") % 7 - 3})
+    return raster.rasterize(rows.unionByName(slanted), _SIDE, _SIDE, 1)
 
 
 def dilate(spark, sf_dir):
