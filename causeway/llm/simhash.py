@@ -3,8 +3,9 @@
 A fingerprint of 64 bits is cut into four segments, each padded to the 23 bits of the perfect
 Golay code.  Every word lies within three bits of exactly one codeword.  Of two words that differ in one bit one has odd
 parity, and the codeword nearest to the other is nearest to it too, or to it with one bit flipped; so an even segment has the index of one
-codeword and an odd one those of several.  Of three differing bits, three segments hold one each at most and two in
-all, so a fingerprint is filed under triples of indices (36 bits) with two flipped segments at most: about 86 keys.  What meets under a key is
+codeword and an odd one those of several.  Three differing bits leave one segment equal and one bit in each other, or two equal and
+one bit at most in a third.  So a fingerprint is filed under one whole segment with indices for two others (40 bits), and under two
+whole segments with indices for one other (44 bits): about 80 keys.  What meets under a key is
 verified by its differing bits, and linked fingerprints are joined into components.
 
 Keys are counted first, so only shared ones are looked at again.  Under a key every fingerprint is held against the smallest and
@@ -115,23 +116,22 @@ def codewords(word: np.ndarray, bits: int = SEGMENT) -> tuple[np.ndarray, np.nda
 
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: three segments and a codeword index in each, all but one of them the nearest at least."""
-    parts = [codewords(((prints >> np.uint64(SEGMENT * i)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)) for i in range(SEGMENTS)]
-    every = np.arange(len(prints))
+    """Row numbers and keys: the segments that are taken whole, and codeword indices of others."""
+    whole = [((prints >> np.uint64(SEGMENT * i)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(SEGMENTS)]
+    fuzzy = [codewords(w) for w in whole]
+    kinds = [((i,), tuple(j for j in range(SEGMENTS) if j != i)[:2]) for i in range(SEGMENTS)]
+    kinds += [(pair, (i,)) for i in range(SEGMENTS) for pair in combinations([j for j in range(SEGMENTS) if j != i], 2)]
     rows, keys = [], []
-    for number, triple in enumerate(combinations(range(SEGMENTS), 3)):
-        for flipped in [(), *combinations(range(3), 1), *combinations(range(3), 2)]:
-            at, key = every, np.full(len(prints), number, np.int64)
-            for k, segment in enumerate(triple):
-                base, others = parts[segment]
-                if k not in flipped:
-                    key = key << 12 | base[at]
-                    continue
-                wide = np.where(others[at] >= 0, key[:, None] << 12 | others[at], -1)
-                which, _ = np.nonzero(wide >= 0)
-                at, key = at[which], wide[wide >= 0]
-            rows.append(at)
-            keys.append(key)
+    for number, (equal, near) in enumerate(kinds):
+        at, key = np.arange(len(prints)), np.full(len(prints), number, np.int64)
+        for i in equal:
+            key = key << SEGMENT | whole[i]
+        for i in near:
+            every = np.concatenate((fuzzy[i][0][:, None], fuzzy[i][1]), axis=1)[at]
+            which, _ = np.nonzero(every >= 0)
+            at, key = at[which], (key[:, None] << 12 | every)[every >= 0]
+        rows.append(at)
+        keys.append(key)
     return np.concatenate(rows), np.concatenate(keys)
 
 
