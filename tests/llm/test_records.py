@@ -37,14 +37,51 @@ def test_archives_are_plain_warc_and_are_deduplicated(spark, pages):
     from causeway.plans.durable import fresh_path
 
     marked = warc.mark_revisits(pages.selectExpr("page_id", "url", "cast(coalesce(html, '') as binary) payload"))
-    path = warc.write_archives(marked, fresh_path(spark, "warc"), 3)
+    path = warc.write_archives(marked, fresh_path(spark, "warc"), warc.F.octet_length("payload"), warc.record_bytes())
     raw = b"".join(gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).collect())
     assert raw.count(b"WARC/1.1\r\n") == pages.count() and b"WARC-Profile: " in raw
     again = warc.resolve(warc.read_archives(spark, warc.deduplicate_archives(spark, path))).collect()
     assert len(again) == pages.count()
     assert {(r["page_id"], r["refers_to"]) for r in again} == {(r["page_id"], r["refers_to"]) for r in warc.archive_pages(pages).collect()}
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(b"no archive"))
+    for bad in (b"no archive", b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx", gzip.compress(raw)[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(bad))
+
+
+def record(kind, number, block, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{number}>", "WARC-Date": f"2020-01-0{number}T00:00:00Z", "WARC-Target-URI": f"http://a/{number}", **fields, "Content-Length": str(len(block))}
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block
+
+
+def test_foreign_archives_lose_nothing_but_repeated_payloads(spark, tmp_path):
+    http = {"Content-Type": "application/http;msgtype=response"}
+    sha = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    gone = base64.b32encode(hashlib.sha1(b"elsewhere").digest()).decode()
+    own = {
+        1: record("warcinfo", 1, b"software: x\r\n", **{"Content-Type": "application/warc-fields"}),
+        2: record("request", 2, b"GET / HTTP/1.1\r\n\r\n", **{"Content-Type": "application/http;msgtype=request"}),
+        3: record("response", 3, b"HTTP/1.1 404 Not Found\r\nX: y\r\n\r\nbody", **http),
+        4: record("response", 4, b"HTTP/1.1 200 OK\r\n\r\nbody", **http),
+        5: record("revisit", 5, b"HTTP/1.1 304 Not Modified\r\n\r\n", **http, **{"WARC-Payload-Digest": f"sha1:{sha}"}),
+        6: record("revisit", 6, b"", **{"WARC-Refers-To": "<urn:x:3>"}),
+        7: record("revisit", 7, b"", **{"WARC-Payload-Digest": f"sha1:{gone}", "WARC-Refers-To": "<urn:x:nowhere>"}),
+        8: record("resource", 8, b"\xff\xfe\r\n\r\nplain", **{"Content-Type": "text/plain"}),
+        9: record("response", 9, b"HTTP/1.1 200 OK\r\n\r\nbody", **http),
+    }
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in own.values()))
+    out = spark.read.format("binaryFile").load(warc.deduplicate_archives(spark, f"file://{tmp_path}")).collect()
+    records = [r for f in out for r in warc.parse_archive(bytes(f["content"]))]
+    by = {r["record_id"]: r for r in records}
+    assert len(records) == len(by) == 9
+    assert all(by[f"<urn:x:{i}>"]["raw"] == own[i] for i in (1, 2, 7, 8, 9))
+    made = [r for r in records if r["record_id"] not in {f"<urn:x:{i}>" for i in own}]
+    assert sorted((r["record_type"], r["target_uri"], r["date"], r["refers_to_record"], r["payload_digest"], r["http_head"]) for r in made) == [
+        ("revisit", "http://a/3", "2020-01-03T00:00:00Z", "<urn:x:9>", sha, b"HTTP/1.1 404 Not Found\r\nX: y\r\n\r\n"),
+        ("revisit", "http://a/4", "2020-01-04T00:00:00Z", "<urn:x:9>", sha, b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    assert {by[f"<urn:x:{i}>"]["refers_to_record"] for i in (5, 6)} == {"<urn:x:9>"} and by["<urn:x:6>"]["payload_digest"] == sha
+    again = {r["record_id"]: r for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
+    assert again["<urn:x:5>"]["payload_bytes"] == again["<urn:x:6>"]["payload_bytes"] == 4 and again["<urn:x:7>"]["payload_bytes"] is None
 
 
 KINDS = [(c, p, t) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.ADOBE_DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (False, True)]
