@@ -76,14 +76,18 @@ _OWN = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness (1 if equal, else 0).
 
-    The next document is the one that follows in descending doc_id (ties by text; null ids last); after the last comes
-    the first.  Rows are dealt by ranges of doc_id and sorted; each task walks its rows.  What a task can't know, the
-    first text of the range after its own, is joined afterwards: one row a range.  A single row is its own next.
+    The next document is the one that follows in descending doc_id (ties by a hash of the text, then by text; null ids last); after the
+    last comes the first.  Rows are dealt by ranges of this order, in which repeated rows are told apart by a number, and sorted; each task walks its
+    rows.  What a task can't know, the first text of the range after its own, is joined afterwards: one row a range.  A single
+    row is its own next.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    walked = written(rows.repartitionByRange(partitions, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order).mapInArrow(_walk, f"part int, role string, text string, {_OWN}"), "next")
+    # The number only spreads rows that are alike, so that it does not matter which of them gets which.
+    dealt = rows.withColumns({"tie": F.xxhash64("text"), "number": F.pmod(F.monotonically_increasing_id(), F.lit(4096))})
+    ranges = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    dealt = dealt.repartitionByRange(partitions, *ranges, "number").sortWithinPartitions(*ranges, "text").select("doc_id", "text")
+    walked = written(dealt.mapInArrow(_walk, f"part int, role string, text string, {_OWN}"), "next")
 
     heads = walked.where("role = 'head'").select("part", F.col("text").alias("head_text"))
     # Ranges that have rows, each with the one after it; the last with the first.  One small row a range.
@@ -102,8 +106,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns, and each document's exact group (``group_id``, ``group_size``)."""
-    groups = group_exact(docs).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("group_size").alias("group_size"))
-    return compare_with_next(docs).join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    groups = group_exact(docs).groupBy(F.col("id").alias("_id"), F.col("fingerprint").alias("_print")).agg(F.min("group_id").alias("group_id"), F.max("group_size").alias("group_size"))
+    rows = compare_with_next(docs)
+    return rows.join(groups, rows.doc_id.eqNullSafe(groups._id) & (rows.fingerprint == groups._print), "left").drop("_id", "_print")
 
 
 def _compare(doc_id: int | None, text: str, following: str, own: str | None = None, other: str | None = None) -> tuple:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -114,13 +115,27 @@ def test_added_spans_and_redaction(spark):
     rows = [(i, f"write to user{i}@mail.example.com or call +1 (212) 555-01{i:02d} now") for i in range(30)]
     rows += [(100 + i, f'api token = "{hashlib.md5(str(i).encode()).hexdigest()}" kept') for i in range(30)]
     rows += [(200 + i, f"serial 4111 1111 1111 11{i:02d} of part") for i in range(15, 40)]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, _spans string").drop("_spans")
+    docs = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], "doc_id bigint, text string, _spans string, pii int, `found.email` string")
     found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
     assert all("secret:" in found[100 + i] for i in range(30))
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    redacted = pii.redact(docs)
+    assert redacted.columns == docs.columns and {tuple(r)[2:] for r in redacted.collect()} == {("x", 7, "y")}
+    clean = {r["doc_id"]: r["text"] for r in redacted.collect()}
     assert clean[3] == "write to <EMAIL> or call <PHONE> now" and clean[100] == 'api token = "<SECRET>" kept'
 
 
+def test_many_addresses_in_one_text(spark):
+    """Places stay right over many blocks, and time stays in proportion."""
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(f"é{i}@mail{i}.org" for i in range(n))
+        start = time.time()
+        row = pii.find(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+        took.append(time.time() - start)
+        assert row["n_email"] == n and row["base_sha256"] == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+    assert took[1] < 8 * took[0] + 5
+
+
 def test_pipeline_on_the_small_tables(spark, data):
     import corpus_pipeline
 

@@ -203,6 +203,12 @@ def test_digest_against_brute_force(spark, docs, empty):
     assert digest.fingerprints(empty).count() == 0
 
 
+def test_groups_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "B"), (None, "lone"), (None, "A "), (3, "b")], "doc_id bigint, text string")
+    found = sorted(((r["doc_id"], r["n_chars"], r["group_size"]) for r in digest.fingerprints(rows).collect()), key=str)
+    assert found == sorted([(1, 1, 2), (1, 1, 3), (2, 1, 3), (None, 4, 1), (None, 2, 2), (3, 1, 3)], key=str)
+
+
 def test_folding_and_groups(spark):
     assert digest.fingerprint("ＦＵＬＬ  Straße\n") == digest.fingerprint("full STRASSE")
     assert digest.fingerprint(None) == digest.fingerprint(" \n")
