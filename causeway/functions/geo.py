@@ -73,3 +73,15 @@ def is_overpass(bridge: Column, layer: Column) -> Column:
 def min_max(value: Column, low: Column, high: Column) -> Column:
     """Share of the way from ``low`` to ``high``; 0 where they are equal."""
     return F.when(high - low <= 0, 0.0).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
+
+
+def path_length_m(places: Column) -> Column:
+    """Great-circle length in metres along an array of struct(x, y) places; 0 for fewer than two."""
+    step = lambda i: haversine_m(F.element_at(places, i - 1)["y"], F.element_at(places, i - 1)["x"], F.element_at(places, i)["y"], F.element_at(places, i)["x"])
+    total = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(places), F.lit(2))), F.lit(0.0), lambda t, i: t + F.when(i <= F.size(places), step(F.least(i, F.size(places)))).otherwise(0.0))
+    return F.when(F.size(places) > 1, total).otherwise(0.0)
+
+
+def saving(samples: Column) -> Column:
+    """How many times fewer sources a run of 100,000 sources would have needed; 1 at least."""
+    return F.greatest(F.lit(1).cast("bigint"), F.round(F.lit(100_000.0) / F.nullif(samples, F.lit(0))).cast("bigint"))

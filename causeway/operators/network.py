@@ -9,6 +9,8 @@ from causeway.functions import geo
 from causeway.sources.networks import Network
 
 WEIGHTS = ("length", "travel_time_s")
+#: Valley floor, height, ripple and its frequency in the synthetic ground (fixed values).
+FLOOR, HEIGHT, RIPPLE, WAVE = 6.0, 46.0, 0.05, 6.28
 #: Share of the bounding box that a directional zone takes (fixed value).
 ZONE_SHARE = 0.22
 
@@ -52,7 +54,7 @@ def elevation(nodes: DataFrame) -> DataFrame:
         return (F.col(v) - F.col(a)) / F.coalesce(F.nullif(F.col(b) - F.col(a), F.lit(0.0)), F.lit(1.0))
 
     s, t = share("x", "x0", "x1"), share("y", "y0", "y1")
-    ground = F.round(6.0 + 46.0 * (F.abs(s - t) + 0.05 * F.sin(6.28 * (s + t))), 2)
+    ground = F.round(FLOOR + HEIGHT * (F.abs(s - t) + RIPPLE * F.sin(WAVE * (s + t))), 2)
     return placed.withColumn("elevation", F.when(F.col("known"), F.col("elevation")).otherwise(ground)).drop("x0", "x1", "y0", "y1", "known")
 
 

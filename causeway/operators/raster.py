@@ -26,6 +26,11 @@ def _shifted(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return pixels.withColumn("_o", F.explode(steps)).select("tile", (F.col("row") + F.col("_o.r")).alias("row"), (F.col("col") + F.col("_o.c")).alias("col"))
 
 
+def binarise(probabilities: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Pixels of a sparse probability mask (tile, row, col, p) whose probability exceeds ``cut``."""
+    return probabilities.where(F.col("p") > cut).select(KEYS)
+
+
 def clip(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 

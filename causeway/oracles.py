@@ -226,3 +226,36 @@ ORACLE_SQL["restoration_priority"] = (
     SELECT k AS rank, u, v, gain AS restores FROM pick WHERE k > 0"""
 )
 ORACLE_SQL["streamed_betweenness"] = ORACLE_SQL["sampled_betweenness"]
+
+ORACLE_SQL["analysis_summary"] = (
+    _BRIDGES
+    + ", hub AS (SELECT u AS g FROM ways GROUP BY 1 HAVING count(*) > 1), alive2 AS (SELECT g, u, v FROM hub, ways WHERE u <> g AND v <> g), "
+    + _scenario_components("alive2", "SELECT g, id FROM hub, nodes WHERE id <> g", name="c2")
+    + ", "
+    + _components(name="c3")
+    + """, points AS (SELECT e.u FROM ways e JOIN c2 ON c2.g = e.u AND c2.id = e.v GROUP BY 1 HAVING count(DISTINCT component) > 1), part AS (SELECT component, count(*) AS n FROM c3 GROUP BY 1)
+    SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM part) AS connected_components, (SELECT max(n) FROM part) AS largest_component,
+        (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM points) AS articulation_points, (SELECT count(*) FROM bridge) AS bridges"""
+)
+_EXACT = f"exact AS (SELECT e.u, e.v, coalesce(total, 0) / (n * (n - 1)) AS b FROM edges e LEFT JOIN ({_PAIRS}) p ON p.u = e.u AND p.v = e.v, side)"
+ORACLE_SQL["estimate_error"] = (
+    _with("supplier", _paths(), _SIGMA, _EXACT)
+    + ", drawn AS (SELECT user_id % n AS s, count(*) AS k FROM events, side GROUP BY 1), each AS (SELECT a.s, least(e.u, e.v) AS u, greatest(e.u, e.v) AS v, sum(su.n * sv.n / st.n) AS total "
+    + _PAIRS[_PAIRS.index("FROM ways e") :].replace("GROUP BY ALL", "GROUP BY ALL)")
+    + """, guess AS (SELECT e.u, e.v, coalesce(sum(k * total), 0) / (SELECT sum(k) FROM drawn) / (SELECT n - 1 FROM side) AS a
+        FROM edges e LEFT JOIN each ON each.u = e.u AND each.v = e.v LEFT JOIN drawn ON drawn.s = each.s GROUP BY 1, 2)
+    SELECT round(max(abs(a - b)), 7) AS worst, round(avg(abs(a - b)), 7) AS mean, count(*) AS shared FROM guess JOIN exact USING (u, v)"""
+)
+ORACLE_SQL["zone_capacity"] = (
+    ORACLE_SQL["zones"].replace("SELECT 'west' AS zone", ", z AS (SELECT 'west' AS zone")
+    + ") SELECT zone, coalesce(sum(capacity), 0) + 1 AS capacity FROM z LEFT JOIN arcs ON arcs.u = z.id GROUP BY 1"
+)
+ORACLE_SQL["saving_projection"] = f"SELECT batch, samples, greatest(1, round(100000 / samples))::BIGINT AS saving FROM ({ORACLE_SQL['progressive_epsilon']})"
+
+
+def _metres(ax: str, ay: str, bx: str, by: str) -> str:
+    return f"2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians({by} - {ay}) / 2), 2) + cos(radians({ay})) * cos(radians({by})) * pow(sin(radians({bx} - {ax}) / 2), 2)))"
+
+
+ORACLE_SQL["edge_path_length"] = _with("customer") + f"""SELECT u, v, round({_metres('ax', 'ay', 'mx', 'my')} + {_metres('mx', 'my', 'bx', '"by"')}, 3) AS length_m
+    FROM (SELECT u, v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 + 5e-4 AS my FROM edges JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v)"""

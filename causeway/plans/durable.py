@@ -7,6 +7,8 @@ used, as they vanish with the executor that holds them.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,17 +18,33 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is configured (tests)."""
+    """The cluster's shared folder.  Where none is configured, a fresh temporary one if all runs in one process, else ``RuntimeError``."""
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="causeway-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="causeway-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set(_SETTING, base)
     return base.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all this application has written."""
+    return f"{shared_dir(spark)}/causeway-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/causeway-{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
