@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +43,8 @@ LEAST_WINDOWS = 40
 UNITS = (8, 8, 6)
 #: Bytes of a scored window, of its step to the next, and the first pair's distance from which the others are asked.
 WINDOW, STEP, GATE = 40, 24, 2
+#: Windows of a text that are cut at once.
+WINDOWS_AT_ONCE = 10_000
 #: Quantiles of ordinary windows' distances that become the thresholds.
 THRESHOLDS = (0.97, 0.99, 0.997, 0.999, 0.9997)
 #: What ends the header of a trained dictionary (fixed value of its format); its content follows.
@@ -51,9 +54,15 @@ CUT = 0.5
 
 def windows_of(text: str | None, size: int | None = None, step: int | None = None) -> list[bytes]:
     """Windows of the whole text, the last one cut short; none of an empty text."""
-    size, step = size or WINDOW, step or STEP
+    return [w for part in _window_parts(text, size or WINDOW, step or STEP) for w in part]
+
+
+def _window_parts(text: str | None, size: int, step: int) -> Iterator[list[bytes]]:
+    """The windows of a text, so many at a time that a very long text needs little besides itself."""
     raw = (text or "").lower().encode()
-    return [raw[a : a + size] for a in range(0, max(min(len(raw), 1), len(raw) - size + step), step)]
+    starts = range(0, max(min(len(raw), 1), len(raw) - size + step), step)
+    for at in range(0, len(starts), WINDOWS_AT_ONCE):
+        yield [raw[a : a + size] for a in starts[at : at + WINDOWS_AT_ONCE]]
 
 
 @dataclass
@@ -95,8 +104,11 @@ class Scorer:
         self.model, self.each = model, [Distance(*p) for p in model.pairs]
 
     def distances(self, text: str | None) -> np.ndarray:
-        """The distance of every window of a text, all windows of the whole text."""
-        windows = windows_of(text)
+        """The distance of every window of the whole text."""
+        parts = [self._of(windows) for windows in _window_parts(text, WINDOW, STEP)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _of(self, windows: list[bytes]) -> np.ndarray:
         out = self.each[0].of(windows)
         at = np.flatnonzero(out >= GATE)
         out[out < GATE] = 0

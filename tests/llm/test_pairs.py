@@ -147,3 +147,24 @@ def test_pipeline_on_the_small_tables(spark, data):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, data)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids and 0 < len(ids) < docs.count()
+
+
+def test_each_stage_on_odd_rows(spark, data, docs, empty):
+    """Nulls in any column, empty and long texts, repeated rows and ids, an empty table, and extra columns."""
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, data)
+        assert kept.columns == corpus_pipeline.COLUMNS and stage(spark, empty, data).count() == 0, name
+        got = [tuple(r) for r in kept.collect()]
+        if name == "toxicity":
+            assert sorted(got, key=str) == sorted(rows, key=str)
+        elif name == "language":
+            assert sorted(r[0] for r in got if r[0] is not None) == [4, 5, 5, 6, 7, 8, 10, 11, 12, 14] and None in [r[0] for r in got]
+        elif name == "near duplicates":
+            assert sorted(r[0] for r in got if r[0] is not None) == [0, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14] and None in [r[0] for r in got]
+        else:
+            assert len(got) == len(rows) and {r[1] for r in got if r[0] == 12} == {"mail me at <EMAIL>, call <PHONE> or <IP>"}
+    packed = corpus_pipeline.pack_windows(spark, docs, data)
+    assert packed.where("doc_id is not null").select("doc_id").distinct().count() == 15 and corpus_pipeline.pack_windows(spark, empty, data).count() == 0
