@@ -1,11 +1,13 @@
 """Whole runs, request checks and kept results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from causeway import queries
 from causeway.functions import geo
-from causeway.operators import impact, raster, repair, reports
+from causeway.operators import connectivity, impact, raster, repair, reports
 from causeway.plans.results import Results
 
 # The published occlusion scenario (fixed values): origin, pitch, roads by (column, row), and what is hidden.
@@ -133,3 +135,30 @@ def test_nearest_match_anywhere_on_the_globe(spark, lat, lon):
     for r in sorted(pairs, key=lambda r: (r["d"], -r["m"])):
         wanted.setdefault(r["id"], r["m"])
     assert {r["id"]: r["match"] for r in repair.nearest_match(truth, there).collect()} == wanted
+
+
+def test_cut_vertices_and_blocks_of_random_graphs(spark):
+    """Against removing each node in turn."""
+    rnd = random.Random(4)
+    every, wanted = [], set()
+    for g in range(40):
+        n, base = rnd.randint(2, 9), 100 * g
+        own = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(rnd.randint(1, 11))}
+        every += [(base + u, base + v) for u, v in own]
+
+        def parts(ids, own=own):
+            left, count = set(ids), 0
+            while left:
+                count, stack = count + 1, [left.pop()]
+                while stack:
+                    x = stack.pop()
+                    near = {b if a == x else a for a, b in own if x in (a, b)} & left
+                    left -= near
+                    stack += near
+            return count
+
+        used = {x for e in own for x in e}
+        wanted |= {base + x for x in used if parts(used - {x}) > parts(used)}
+    found = connectivity.articulation_points(spark.createDataFrame(every, "u bigint, v bigint"))
+    assert sorted(r["id"] for r in found.collect()) == sorted(wanted)
+    assert connectivity.articulation_points(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
