@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -142,10 +145,19 @@ def kept(key: str, fits: Callable[[object], bool], make: Callable[[], object]) -
     found = _KEPT.get(key)
     if found is None or not fits(found):
         _KEPT.clear()
+        release()
         found = _KEPT[key] = make()
     return found
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system, so that what an earlier stage needed is not held through the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, whose default of 10,000 rows is made for numbers, not for texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

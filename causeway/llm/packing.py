@@ -13,7 +13,6 @@ windows whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import batched
+from causeway.llm.common import batched, kept
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -47,6 +46,7 @@ class ByteBpe:
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.paths = (vocabulary, ranks)
         self.whole = Tokenizer.from_file(vocabulary)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
@@ -59,9 +59,9 @@ class ByteBpe:
         return np.array(ids, "<u4").tobytes()
 
 
-@functools.lru_cache(2)
 def tokenizer(vocabulary: str, ranks: str) -> ByteBpe:
-    return ByteBpe(vocabulary, ranks)
+    """The tokenizer of these files, kept from task to task."""
+    return kept("packing", lambda t: t.paths == (vocabulary, ranks), lambda: ByteBpe(vocabulary, ranks))
 
 
 class Packer:

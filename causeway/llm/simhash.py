@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from causeway.llm.common import batched, free_name, map_batches, member_words, members, salted_lookup
+from causeway.llm.common import kept as held
 from causeway.plans.components import connected_components
 from causeway.plans.durable import written
 
@@ -347,6 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     number = bands(similarity)
 
     def work(batch: pa.RecordBatch) -> dict:
+        held("simhash", lambda _: True, dict)  # lets go of what another stage kept
         texts = batch.column(1).to_pylist()
         keys = pa.array([band_keys(shingles(t, words), number) for t in texts], pa.list_(pa.int64()))
         prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
