@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import digest, langid, packing, pii, piece_bpe, quality, simhash, tiff, toxicity, warc
+from causeway.llm import byte_bpe, digest, langid, oracles, packing, pii, piece_bpe, quality, simhash, spelling, tiff, toxicity, turns, warc
 from causeway.llm.common import table
 
 
@@ -50,6 +50,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.audit(rows, turns.damage(rows))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_factorisation_quality": op2_factorisation_quality,
@@ -61,9 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_canonical_digest": op9_canonical_digest,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_forced_boundary_bpe": op13_forced_boundary_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_turn_repair": oracles.TURNS,
+    "op12_spelling_variants": oracles.SPELLING,
     "op1_warc_revisits": """
         WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
         h AS (SELECT page_id, url, octet_length(payload) AS payload_bytes, sha1(payload) AS hexed FROM p),
