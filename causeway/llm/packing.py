@@ -31,6 +31,8 @@ WINDOW = 2048
 END_ID = 1
 #: Below this code point the two tokenizer libraries' character classes agree.
 COMMON = "ɐ"
+#: Texts of more characters go through the library: the rank table's word rule runs out of stack on a million blanks in a row.
+LONG = 100_000
 
 
 class ByteBpe:
@@ -38,7 +40,7 @@ class ByteBpe:
 
     Texts of common characters go through the same vocabulary's rank table, which gives equal ids
     four times as fast; for other characters the libraries' character classes may differ.  Texts in which an
-    added token is spelled out have its id there, as the library has it, and go through the library.
+    added token is spelled out have its id there, as the library has it, and go through the library; so do very long ones.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -54,7 +56,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        plain = (text.isascii() or max(text) < COMMON) and not any(t in text for t in self.added)
+        plain = len(text) <= LONG and (text.isascii() or max(text) < COMMON) and not any(t in text for t in self.added)
         ids = self.fast.encode_ordinary(text) if plain else self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 

@@ -49,6 +49,13 @@ def test_byte_ids_equal_the_tokenizer():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_runs_are_encoded():
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    own = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
+    for text in (" " * 1_000_000 + "a", "\n" * 1_000_000, "a" * 1_000_000, "7" * 1_000_000, " " * packing.LONG):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_level_choice_is_the_best():
     rnd = random.Random(3)
     packer = packing.Packer(32)
