@@ -111,6 +111,3 @@ def write_features(features: DataFrame, path: str) -> None:
     """One feature a line (newline-delimited GeoJSON), which writes and reads in parallel."""
     features.select(F.col("feature").alias("value")).write.text(path)
 
-
-def rounded(value: Column | str, digits: int = 6) -> Column:
-    return F.round(value, digits)
