@@ -114,6 +114,13 @@ _BRIDGES = f"""{_with("supplier")}, cut AS (SELECT row_number() OVER (ORDER BY u
     {_scenario_components("alive", "SELECT g, id FROM cut, nodes")},
     bridge AS (SELECT cut.u, cut.v FROM cut JOIN cc a ON a.g = cut.g AND a.id = cut.u JOIN cc b ON b.g = cut.g AND b.id = cut.v WHERE a.component <> b.component)"""
 
+#: Every pair of segments is taken out: nodes that are parted by none of these losses are together.
+_THREE = f"""{_with("supplier")}, cut AS (SELECT row_number() OVER (ORDER BY a.u, a.v, b.u, b.v) AS g, a.u AS u1, a.v AS v1, b.u AS u2, b.v AS v2 FROM edges a JOIN edges b ON (a.u, a.v) < (b.u, b.v)),
+    alive AS (SELECT cut.g, e.u, e.v FROM cut, ways e WHERE (least(e.u, e.v), greatest(e.u, e.v)) NOT IN ((cut.u1, cut.v1), (cut.u2, cut.v2))),
+    {_scenario_components("alive", "SELECT g, id FROM cut, nodes")},
+    seen AS (SELECT id, md5(string_agg(component::VARCHAR, ',' ORDER BY g)) AS seen FROM cc GROUP BY id)
+    SELECT id, min(id) OVER (PARTITION BY seen) AS component FROM seen"""
+
 _QUADS = ((("0.2", "0.3"), ("5.1", "0.1"), ("4.7", "4.2"), ("0.4", "3.6")), (("2.5", "2.5"), ("8.3", "2.2"), ("7.9", "6.8"), ("3.1", "7.2")))
 
 ORACLE_SQL: dict[str, str] = {
@@ -137,6 +144,7 @@ ORACLE_SQL: dict[str, str] = {
     + "SELECT count(*) AS components, max(size) AS largest, sum(size)::BIGINT AS nodes, sum(size * (size - 1))::BIGINT AS pairs FROM (SELECT component, count(*) AS size FROM cc GROUP BY 1)",
     "bridges": _BRIDGES + "SELECT u, v FROM bridge",
     "two_edge_components": _BRIDGES + ", joined AS (SELECT e.u, e.v FROM ways e LEFT JOIN bridge b ON b.u = least(e.u, e.v) AND b.v = greatest(e.u, e.v) WHERE b.u IS NULL), " + _components("joined", name="tc") + "SELECT id, component FROM tc",
+    "three_edge_components": _THREE,
     "articulation_points": _with("supplier", "hub AS (SELECT u AS g FROM ways GROUP BY 1 HAVING count(*) > 1)", "alive AS (SELECT g, u, v FROM hub, ways WHERE u <> g AND v <> g)", _scenario_components("alive", "SELECT g, id FROM hub, nodes WHERE id <> g"))
     + "SELECT e.u AS id FROM ways e JOIN cc ON cc.g = e.u AND cc.id = e.v GROUP BY 1 HAVING count(DISTINCT component) > 1",
     "apsp": _with("supplier", _paths()) + "SELECT s, v, round(d, 4) AS d FROM d",

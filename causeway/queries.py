@@ -103,6 +103,11 @@ def two_edge_components(spark, sf_dir):
     return connectivity.two_edge_components(edges, nodes)
 
 
+def three_edge_components(spark, sf_dir):
+    _, edges, nodes = _network(spark, sf_dir, "supplier")
+    return connectivity.three_edge_components(edges, nodes)
+
+
 def apsp(spark, sf_dir):
     ways, nodes, _ = _paths(spark, sf_dir)
     return paths.shortest_paths(ways, _sources(nodes)).select("s", "v", F.round("d", 4).alias("d"))
@@ -427,7 +432,7 @@ def repair_features(spark, sf_dir):
 
 _ALL = (
     flood_impact, annotate_edges, undirected_view, collapse_parallel, bipartite_degree, zones, elevation, degree, submerged_edges, components, component_summary, bridges, articulation_points,
-    two_edge_components, apsp, sssp_hops, sigma_counts, global_efficiency, edge_betweenness, edge_betweenness_directed, node_betweenness, sampled_betweenness, streamed_betweenness, progressive_epsilon, current_flow,
+    two_edge_components, three_edge_components, apsp, sssp_hops, sigma_counts, global_efficiency, edge_betweenness, edge_betweenness_directed, node_betweenness, sampled_betweenness, streamed_betweenness, progressive_epsilon, current_flow,
     removal_impact, resilience_score, min_cut, flood_sweep, lost_access, restoration_priority, robustness_random, robustness_targeted, robustness_auc, spearman, pearson, bpr_travel_time, point_in_polygon, gap_candidates,
     gap_closure, flyover_split, geo_match, apls, rasterize, dilate, erode, skeletonize_step, trace_degree, vectorize, geojson_edges, top_segments, highest_ground,
     analysis_summary, estimate_error, zone_capacity, saving_projection, edge_path_length, repair_run, repair_features,
