@@ -408,7 +408,7 @@ def _met_in_crowds(apart: DataFrame, found: DataFrame, own: DataFrame, words: in
     a share of their sizes.  With ``w`` = |X| less that share of x's own size, x and y are alike just if |X & Y| >= (w_x + w_y) / 2.  So the text
     of least w is linked to whatever it makes no more than 0 with, and this links all such pairs.  All others must have differences in common:
     of so many that they meet in the first few, the rarest coming first (prefix and positional filtering).  Near copies have little in common
-    of how they differ, and are not paired.
+    of how they differ, so few are paired; as a text has only so many places to differ in, these few still grow faster than the texts.
     """
     spark = apart.sparkSession
     apart = written(apart, "crowded-keys")

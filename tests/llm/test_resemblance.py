@@ -77,7 +77,7 @@ def crowd(seed, n=500, pool=10**6):
 
 
 def test_crowds_of_near_copies_are_not_paired(spark, monkeypatch):
-    """Pairs looked at grow with the texts, not with their square, and no link is lost."""
+    """Of some hundred near copies few pairs are looked at, and no link is lost."""
     looked_at, similar = [], simhash._similar
     monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: looked_at.append(pairs.count()) or similar(pairs, *more))
     made = crowd(1)
