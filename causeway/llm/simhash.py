@@ -155,9 +155,12 @@ def _ends(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def _shared(filed: DataFrame, who: str) -> DataFrame:
-    """``(key, who, low, high)`` of the keys that several have; counting is combined before the shuffle, and Spark splits a hot key's join."""
+    """``(key, who, low, high)`` of the keys that several have; counting is combined before the shuffle, and Spark splits a hot key's join.
+
+    Filed rows are many times those that they were made from, which Spark's sizes don't show; the hint keeps it from sending either side to every executor.
+    """
     several = filed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high")
-    return filed.join(several, "key")
+    return filed.join(several.hint("merge"), "key")
 
 
 def _to_leaders(shared: DataFrame, who: str) -> DataFrame:
