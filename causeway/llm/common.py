@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.plans.durable import repeated
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
@@ -70,7 +72,7 @@ def salted_lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Co
     ``small`` is repeated once a share.  The share stays in column ``_salt``.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    each = repeated(small, "_salt", SALTS)
     return dealt.join(each, [*keys, "_salt"], how)
 
 
