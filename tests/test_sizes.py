@@ -39,3 +39,11 @@ def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1030)]
     found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(200)} | {i: 1000 for i in range(1000, 1031)}
+
+
+def test_labels_of_scenarios_are_not_broadcast(spark):
+    node = lambda x: F.struct(F.lit(1).cast("bigint").alias("g"), x.alias("id"))
+    one = spark.range(400_000).select(node(F.col("id")).alias("dst"), node(F.lit(0).cast("bigint")).alias("label"))
+    labels = durable.written(one.repartition(4), "labels")
+    edges = durable.written(labels.select(F.col("dst").alias("src"), "dst"), "edges")
+    assert expected_bytes(labels) > 10 << 20 and "BroadcastHashJoin" not in plan(edges.join(labels, "dst"))
