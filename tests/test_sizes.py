@@ -47,3 +47,9 @@ def test_labels_of_scenarios_are_not_broadcast(spark):
     labels = durable.written(one.repartition(4), "labels")
     edges = durable.written(labels.select(F.col("dst").alias("src"), "dst"), "edges")
     assert expected_bytes(labels) > 10 << 20 and "BroadcastHashJoin" not in plan(edges.join(labels, "dst"))
+
+
+def test_labels_of_one_component_are_not_broadcast(spark):
+    labels = durable.written(spark.range(900_000).select(F.col("id").alias("dst"), F.lit(0).cast("bigint").alias("label")).repartition(4), "labels")
+    edges = durable.written(labels.select(F.col("dst").alias("src"), "dst"), "edges")
+    assert "BroadcastHashJoin" not in plan(edges.join(labels, "dst"))
